@@ -13,6 +13,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything but ASCII letters and digits and the bytes of other characters parts terms.
+TERM_SPACE = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are handled in pieces of about this many bytes (a longer text is one piece).
@@ -63,15 +65,28 @@ def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> n
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals U+00C0..U+00DE in lower case."""
+    out = LOWER[data]
+    second = np.flatnonzero(data == 0xC3) + 1
+    second = second[second < len(data)]
+    capital = (data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)
+    out[second[capital]] += 32
+    return out
+
+
 class Words:
-    """The words of some texts: starts, ends (bytes), hash, and first[i]..first[i+1] the words of text i."""
+    """The words of some texts: starts, ends (bytes), hash, and first[i]..first[i+1] the words of text i.
+
+    lower folds ASCII and Latin-1 capitals; space marks the bytes that part words.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         if lower:
-            data = LOWER[data]
+            data = fold(data)
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~space[data]
         head = solid.copy()
         head[1:] &= ~solid[:-1]
         inner = offsets[1:-1]
@@ -85,8 +100,15 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         prefix = sums(BYTE[data], _BASE[0])
         self.hash = span(prefix, self.start, self.end, _BASE[0]) + (self.end - self.start).astype(np.uint64)
+        self._bytes = prefix
         self._sums: dict[int, np.ndarray] = {}
 
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words longer than size bytes, hash of their first size bytes)."""
+        which = np.flatnonzero(self.end - self.start > size)
+        start = self.start[which]
+        return which, mix(span(self._bytes, start, start + size, _BASE[0]) + np.uint64(size << 20))
+
     def window(self, start: np.ndarray, end: np.ndarray, which: int = 1) -> np.ndarray:
         """Hash of words start..end-1; which picks one of several independent hashes."""
         base = _BASE[1] + 2 * which * 0x51ED2701
@@ -97,7 +119,11 @@ class Words:
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of about size bytes; null is an empty text."""
-    text = batch.column(batch.schema.get_field_index(column))
+    yield from pieces(batch.column(batch.schema.get_field_index(column)), size)
+
+
+def pieces(text: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As chunks, of one string or binary column."""
     if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type):
         kind = np.int64
     else:
