@@ -54,6 +54,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages, "html", "text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from caduspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caduspark.llm.hilbert_shard import shard
+
+    return shard(table(spark, sf_dir, "documents")).drop("curve")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -103,6 +103,10 @@ class Words:
         self._bytes = prefix
         self._sums: dict[int, np.ndarray] = {}
 
+    def of_bytes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of bytes start..end-1."""
+        return mix(span(self._bytes, start, end, _BASE[0]) + (end - start).astype(np.uint64))
+
     def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(words longer than size bytes, hash of their first size bytes)."""
         which = np.flatnonzero(self.end - self.start > size)
