@@ -68,6 +68,18 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).drop("curve")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caduspark.llm.topk_vafile import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caduspark.llm.embed_neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
