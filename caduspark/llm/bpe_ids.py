@@ -62,9 +62,12 @@ class Encoder:
         self.index: dict[int, int] = {}
         self.starts, self.sizes, self.pool, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
 
+    def _ids(self, units: list[bytes]) -> list[list[int]]:
+        return [self.core.encode_ordinary(u.decode("utf-8", "replace")) for u in units]
+
     def _add(self, hashes: list[int], units: list[bytes]) -> None:
         k, n = len(self.index), len(hashes)
-        ids = [self.core.encode_ordinary(u.decode("utf-8", "replace")) for u in units]
+        ids = self._ids(units)
         sizes = np.fromiter(map(len, ids), np.int32, n)
         total = int(sizes.sum())
         while k + n > len(self.starts):
@@ -112,6 +115,10 @@ class Encoder:
             counts = np.array([len(g) for g in got], np.int64)
             return np.fromiter((i for g in got for i in g), np.uint32, int(counts.sum())), counts
         starts, ends, words = self._units(data, offsets)
+        return self._gather(raw, starts, ends, words, offsets)
+
+    def _gather(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, words: textnum.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that cover the texts in order: distinct units are encoded once."""
         hashes = words.of_bytes(starts, ends)
         known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.index) + len(known) > CACHE:

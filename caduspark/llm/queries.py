@@ -80,6 +80,29 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from caduspark.llm import sp_codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    docs = sp_codec.digest(sp_codec.decode(docs, path))
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids_crc32",
+        F.xxhash64("decoded").alias("decoded_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caduspark.llm.minhash_neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
