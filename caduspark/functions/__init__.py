@@ -1 +1 @@
-
+"""Column builders: detection, redaction, signals, hashing."""

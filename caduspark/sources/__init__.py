@@ -1 +1 @@
-
+"""Readers, writers, policy and event derivation."""
