@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caduspark.functions import fixed
+from caduspark.functions.detect import let
 
 MODES = ("REDACT", "PSEUDONYMIZE", "GENERALIZE", "SUPPRESS")
 
@@ -52,5 +53,8 @@ def redact(text: Column, hits: Column, mode: str = "REDACT", overrides: dict[str
         gap = F.substring(text, acc["at"] + 1, h["start"] - acc["at"])
         return F.struct(h["end"].alias("at"), F.concat(acc["out"], gap, replacement(h, mode, overrides, salt)).alias("out"))
 
-    done = F.aggregate(hits, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(hits) > 0, done).otherwise(text)
+    def done(h: Column) -> Column:
+        whole = F.aggregate(h, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        return F.when(F.size(h) > 0, whole).otherwise(text)
+
+    return let(hits, done)
