@@ -8,14 +8,13 @@ documents link if the weighted Jaccard similarity of their shingles is THRESHOLD
 
 1. One scan counts df; one scan draws K = BANDS * ROWS consistent weighted samples of every document.
 2. Documents with the same word sequence fold into the smallest id; the rest works on distinct texts.
-3. Texts that agree on a band share a bucket.  Each text is paired with its bucket's smallest id and with the
-   two earlier texts most like it, if their samples agree on at least AGREE of K places and their total
-   weights allow the threshold: pairs grow with the texts, not with the square of a bucket.
-4. Pairs are verified on the whole texts; links give components.
-5. Second round: texts of one bucket that are still in different components and whose samples agree are all
-   verified too, so no link of a bucket is lost that joins components.
-Buckets are split over tasks by range of (band, key, weight), each text of a split bucket still meeting the
-bucket's smallest id.  A pair at the threshold shares a band with probability 0.999.
+3. Texts that agree on a band share a bucket.  A bucket of more than BLOCK texts is a grid of block pairs, so no
+   task holds more than 2 * BLOCK texts and all pairs of a bucket stand in one task.
+4. In a task, pairs whose samples agree on at least AGREE of K places and whose total weights allow the threshold
+   are verified on the whole texts, likeliest first, each in the first band that it shares; pairs that earlier
+   links have joined already need no test.  Only links that join components leave the task.
+5. Links give components.
+A pair at the threshold shares a band with probability 0.999 and agrees on AGREE places with 0.9999.
 
 Defined results: null, empty and blank texts link with nothing; a repeated id is one document (its texts' links
 are united); a null id gets a null component and is kept; equal texts always share a component; the component
@@ -33,6 +32,8 @@ from caduspark.llm import shared, textnum
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, AGREE = 10, 3, 15
+#: Texts of one block of a bucket; larger buckets become a grid of block pairs.
+BLOCK = 1_024
 FEATURE_BITS = 18
 _SLICE = 1 << 12
 
@@ -146,93 +147,11 @@ def _signer(idf: np.ndarray):
     return run
 
 
-def _marks(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
-
-
-def _star(batches):
-    """Pairs of a text with its bucket's smallest id."""
-    for batch in batches:
-        a, b, wa, wb = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("lead", "id", "lead_weight", "weight"))
-        agree = (_marks(batch.column(batch.schema.get_field_index("lead_marks"))) == _marks(batch.column(batch.schema.get_field_index("marks")))).sum(1)
-        near = (a != b) & (agree >= AGREE) & (np.minimum(wa, wb) >= THRESHOLD * np.maximum(wa, wb) * (1 - 1e-9))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near])], names=["a", "b"])
-
-
-def _beside(every: bool):
-    """Pairs within the buckets of one task, whose rows come ordered by bucket and weight.
-
-    every: all pairs of different components that may link; else each text with its two likeliest partners.
-    """
-
-    def pairs(ids, weight, marks, comp):
-        out_a, out_b = [], []
-        for at in range(1, len(ids), 128):
-            to = min(at + 128, len(ids))
-            first = int(np.searchsorted(weight, THRESHOLD * weight[at] * (1 - 1e-9)))
-            agree = np.zeros((to - at, to - first), np.int16)
-            for k in range(marks.shape[1]):
-                agree += marks[at:to, k, None] == marks[None, first:to, k]
-            agree[np.arange(first, to)[None] >= np.arange(at, to)[:, None]] = 0
-            agree[weight[None, first:to] < THRESHOLD * weight[at:to, None] * (1 - 1e-9)] = 0
-            if every:
-                agree[comp[None, first:to] == comp[at:to, None]] = 0
-                i, j = np.nonzero(agree >= AGREE)
-            else:
-                take = min(2, agree.shape[1])
-                j = np.argpartition(-agree, take - 1, axis=1)[:, :take].ravel()
-                i = np.repeat(np.arange(to - at), take)
-                good = agree[i, j] >= AGREE
-                i, j = i[good], j[good]
-            out_a.append(ids[first + j])
-            out_b.append(ids[at + i])
-        return out_a, out_b
-
-    def run(batches):
-        held: list[tuple] = []
-        bucket = None
-        ready_a: list[np.ndarray] = []
-        ready_b: list[np.ndarray] = []
-
-        def close():
-            if held:
-                a, b = pairs(*(np.concatenate(x) for x in zip(*held)))
-                ready_a.extend(a)
-                ready_b.extend(b)
-                held.clear()
-
-        def emit():
-            a = np.concatenate(ready_a) if ready_a else np.zeros(0, np.int64)
-            b = np.concatenate(ready_b) if ready_b else np.zeros(0, np.int64)
-            ready_a.clear()
-            ready_b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            band, key = np.asarray(get("band")), np.asarray(get("key"))
-            ids, weight, marks = np.asarray(get("id")), np.asarray(get("weight")), _marks(get("marks"))
-            comp = np.asarray(get("comp")) if every else ids
-            cuts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(ids))):
-                if (band[lo], key[lo]) != bucket:
-                    close()
-                    bucket = (band[lo], key[lo])
-                held.append((ids[lo:hi], weight[lo:hi], marks[lo:hi], comp[lo:hi]))
-            yield emit()
-        close()
-        yield emit()
-
-    return run
-
-
-def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray, rows: int) -> np.ndarray:
-    """Similarity of the i-th texts of two lists of distinct shingles (text, hash, count)."""
+def weighted_jaccard(a: tuple, b: tuple, rows: int) -> np.ndarray:
+    """Similarity of the i-th texts of two lists of distinct shingles (text, hash, weight)."""
     of = np.concatenate([a[0], b[0]])
     hashed = np.concatenate([a[1], b[1]])
-    weight = np.concatenate([a[2], b[2]]) * idf[feature(hashed)]
+    weight = np.concatenate([a[2], b[2]])
     order = np.lexsort((hashed, of))
     of, hashed, weight = of[order], hashed[order], weight[order]
     twin = np.flatnonzero((of[1:] == of[:-1]) & (hashed[1:] == hashed[:-1]))
@@ -241,20 +160,90 @@ def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray, rows: int) -> np.ndarr
     return np.divide(shared_weight, total - shared_weight, out=np.zeros(rows), where=total > 0)
 
 
-def _verifier(idf: np.ndarray, threshold: float):
+class Bucket:
+    """Texts of one block pair of a bucket, and the links among them that join components."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.sides: list[int] = []
+        self.weights: list[float] = []
+        self.marks: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def links(self, band: int, two_sided: bool, threshold: float) -> list[tuple[int, int]]:
+        n = len(self.ids)
+        if n < 2:
+            return []
+        weight, marks, keys, side = np.array(self.weights), np.stack(self.marks), np.stack(self.keys), np.array(self.sides)
+        left, right, like = [], [], []
+        for at in range(0, n, 128):
+            to = min(at + 128, n)
+            agree = np.zeros((to - at, n), np.int16)
+            for k in range(marks.shape[1]):
+                agree += marks[at:to, k, None] == marks[None, :, k]
+            ok = (agree >= AGREE) & (np.arange(n)[None] > np.arange(at, to)[:, None])
+            ok &= np.minimum(weight[at:to, None], weight[None]) >= threshold * np.maximum(weight[at:to, None], weight[None]) * (1 - 1e-9)
+            if two_sided:
+                ok &= side[at:to, None] != side[None]
+            for k in range(band):  # a pair belongs to the first band that it shares
+                ok &= keys[at:to, k, None] != keys[None, :, k]
+            i, j = np.nonzero(ok)
+            left.append(i + at)
+            right.append(j)
+            like.append(agree[i, j])
+        i, j, like = np.concatenate(left), np.concatenate(right), np.concatenate(like)
+        order = np.argsort(-like, kind="stable")  # likeliest first: later pairs are often joined already
+        i, j = i[order], j[order]
+        root, out = np.arange(n), []
+        while len(i):
+            near = weighted_jaccard(self.some(i[:256]), self.some(j[:256]), len(i[:256])) >= threshold - 1e-12
+            for x, y in zip(i[:256][near].tolist(), j[:256][near].tolist()):
+                if root[x] != root[y]:
+                    out.append((self.ids[x], self.ids[y]))
+                    root[root == root[y]] = root[x]
+            i, j = i[256:], j[256:]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+        return out
+
+    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, hash, weight) of the shingles of some texts."""
+        sets = [self.sets[k] for k in which.tolist()]
+        return np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]), np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+
+
+def _linker(idf: np.ndarray, threshold: float):
+    """Links of the buckets of one task; rows come ordered by bucket and block pair."""
+
     def run(batches):
+        held, now = Bucket(), None
         for batch in batches:
+            out: list[tuple[int, int]] = []
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            left, right = get("left"), get("right")
-            for at in range(0, len(batch), 128):
-                n = min(128, len(batch) - at)
-                parts = []
-                for column in (left.slice(at, n), right.slice(at, n)):
-                    found = [(np.asarray(lo + of), hashed, counts) for lo, hi, data, offsets in textnum.pieces(column) for of, hashed, counts, _ in (shingles(data, offsets),)]
-                    parts.append(tuple(np.concatenate(x) for x in zip(*found)))
-                good = np.flatnonzero(weighted_jaccard(*parts, idf, n) >= threshold - 1e-12)
-                rows = pa.array(good + at)
-                yield pa.RecordBatch.from_arrays([get("a").take(rows), get("b").take(rows)], names=["a", "b"])
+            heads = list(zip(*(get(c).to_pylist() for c in ("band", "key", "i", "j"))))
+            ids, weight, side = get("id").to_pylist(), get("weight").to_pylist(), get("side").to_pylist()
+            marks = np.frombuffer(b"".join(get("marks").to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS)
+            keys = np.asarray(get("keys").flatten()).reshape(len(batch), BANDS)
+            for lo, hi, data, offsets in textnum.pieces(get("t")):
+                of, hashed, counts, _ = shingles(data, offsets)
+                w = counts * idf[feature(hashed)]
+                cuts = np.searchsorted(of, np.arange(hi - lo + 1))
+                for r in range(lo, hi):
+                    if heads[r] != now:
+                        if now is not None:
+                            out += held.links(now[0], now[2] != now[3], threshold)
+                        held, now = Bucket(), heads[r]
+                    a, b = cuts[r - lo], cuts[r - lo + 1]
+                    held.ids.append(ids[r])
+                    held.sides.append(side[r])
+                    held.weights.append(weight[r])
+                    held.marks.append(marks[r])
+                    held.keys.append(keys[r])
+                    held.sets.append((hashed[a:b].copy(), w[a:b].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out = held.links(now[0], now[2] != now[3], threshold) if now is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -270,37 +259,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     first = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     signed = shared.write_table(signed.join(first, ["h1", "h2"]).drop("h1", "h2"), "folded")
     copies = signed.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    banded = signed.where("id = rep").select("id", "weight", "marks", F.posexplode("keys").alias("band", "key"))
-    lead = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "weight", "marks")).alias("lead")).where("n > 1")
-    lead = lead.select("band", "key", F.col("lead.id").alias("lead"), F.col("lead.weight").alias("lead_weight"), F.col("lead.marks").alias("lead_marks"))
-    met = shared.write_table(banded.join(lead, ["band", "key"]), "buckets")
-    pair = "a long, b long"
-
-    def ordered(frame: DataFrame) -> DataFrame:
-        return frame.repartitionByRange("band", "key", "weight", "id").sortWithinPartitions("band", "key", "weight", "id")
-
-    slim = met.select("band", "key", "id", "weight", "marks")
-    star = met.select("id", "weight", "marks", "lead", "lead_weight", "lead_marks").mapInArrow(_star, pair)
-    pairs = shared.write_table(star.unionByName(ordered(slim).mapInArrow(_beside(False), pair)).distinct(), "pairs")
-    texts = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-
-    def verify(frame: DataFrame, name: str) -> DataFrame:
-        both = frame.join(texts.select(F.col("id").alias("a"), F.col("t").alias("left")), "a")
-        both = both.join(texts.select(F.col("id").alias("b"), F.col("t").alias("right")), "b")
-        return shared.write_table(both.mapInArrow(_verifier(idf, threshold), pair).distinct(), name)
-
-    texts = shared.write_table(rows.join(texts, "id"), "texts")
-    links = verify(pairs, "links")
-    parts = shared.connected_components(links)
-    labelled = slim.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    more = ordered(labelled.join(mixed, ["band", "key"])).mapInArrow(_beside(True), pair).distinct()
-    more = shared.write_table(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(copies)
-    if more.limit(1).count():
-        wanted = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
-        texts = shared.write_table(rows.join(wanted, "id"), "texts")
-        links = links.unionByName(verify(more, "links"))
+    signed = signed.where("id = rep").drop("rep")
+    banded = signed.select("id", F.posexplode("keys").alias("band", "key"))
+    many = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = banded.join(many, ["band", "key"]).select("id", "band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("id", "band", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    met = shared.write_table(met, "buckets")
+    whole = rows.join(met.select("id").distinct().hint("merge"), "id").join(signed.hint("merge"), "id")
+    order = ("band", "key", "i", "j")
+    tasks = whole.join(met.hint("merge"), "id").repartition(*order).sortWithinPartitions(*order)
+    links = shared.write_table(tasks.mapInArrow(_linker(idf, threshold), "a long, b long").distinct(), "links").unionByName(copies)
     parts = shared.connected_components(links).withColumnRenamed("node", "id")
     out = rows.select("id").distinct().join(parts, "id", "left")
     found = F.coalesce("component", "id")
