@@ -62,19 +62,21 @@ class Encoder:
         self.index: dict[int, int] = {}
         self.starts, self.sizes, self.pool, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
 
-    def _ids(self, units: list[bytes]) -> list[list[int]]:
-        return [self.core.encode_ordinary(u.decode("utf-8", "replace")) for u in units]
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after another, ids of each)."""
+        ids = [self.core.encode_ordinary(u.decode("utf-8", "replace")) for u in units]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
     def _add(self, hashes: list[int], units: list[bytes]) -> None:
         k, n = len(self.index), len(hashes)
-        ids = self._ids(units)
-        sizes = np.fromiter(map(len, ids), np.int32, n)
-        total = int(sizes.sum())
+        flat, sizes = self._ids(units)
+        total = len(flat)
         while k + n > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts] * 2), np.concatenate([self.sizes] * 2)
         while self.filled + total > len(self.pool):
             self.pool = np.concatenate([self.pool] * 2)
-        self.pool[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.pool[self.filled : self.filled + total] = flat
         self.sizes[k : k + n] = sizes
         self.starts[k : k + n] = self.filled + np.cumsum(sizes) - sizes
         self.filled += total

@@ -175,35 +175,44 @@ class Pieces:
             return [self.bytes_at[b] for b in piece.encode()]
         return [self.unknown]
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(units)
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after another, ids of each unit)."""
+        sizes = np.zeros(len(units), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # (units, their ids one after another)
         by_length: dict[int, list[int]] = {}
-        for i, unit in enumerate(units):
-            if len(unit) > LONG and not self.unigram:
-                out[i] = [k for p in self.heap(unit) for k in self.spell(p)]
-            elif unit:
-                by_length.setdefault(len(unit), []).append(i)
+        for i, length in enumerate(map(len, units)):
+            if length > LONG and not self.unigram:
+                ids = np.array([k for p in self.heap(units[i]) for k in self.spell(p)], np.uint32)
+                sizes[i] = len(ids)
+                done.append((np.array([i]), ids))
+            elif length:
+                by_length.setdefault(length, []).append(i)
         for length, which in by_length.items():
             step = max(1, 60_000 // length)
             for at in range(0, len(which), step):
                 some = which[at : at + step]
-                codes = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), length)
+                codes = np.frombuffer("".join([units[i] for i in some]).encode("utf-32-le"), np.uint32).reshape(len(some), length)
                 table, ends = self.segment(codes)
                 row, start = np.nonzero(ends)
                 ids = table[row, start, ends[row, start] - start - 1]
                 lack = np.flatnonzero(ids < 0)
-                cuts = np.searchsorted(row, np.arange(len(some) + 1))
-                listed = ids.tolist()
                 if len(lack):
-                    spelt: list[list[int]] = [[k] for k in listed]
-                    for j in lack.tolist():
-                        spelt[j] = self.spell(units[some[row[j]]][start[j] : ends[row[j], start[j]]])
-                    for r, i in enumerate(some):
-                        out[i] = [k for x in spelt[cuts[r] : cuts[r + 1]] for k in x]
-                else:
-                    for r, i in enumerate(some):
-                        out[i] = listed[cuts[r] : cuts[r + 1]]
-        return out
+                    spelt = [self.spell(units[some[row[j]]][start[j] : ends[row[j], start[j]]]) for j in lack.tolist()]
+                    times = np.ones(len(ids), np.int64)
+                    times[lack] = [len(x) for x in spelt]
+                    first = np.cumsum(times) - times
+                    ids, row = np.repeat(ids, times), np.repeat(row, times)
+                    for f, x in zip(first[lack].tolist(), spelt):
+                        ids[f : f + len(x)] = x
+                some = np.array(some)
+                sizes[some] = np.bincount(row, minlength=len(some))
+                done.append((some, ids.astype(np.uint32)))
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        for some, ids in done:
+            own = sizes[some]
+            out[np.repeat(starts[some] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return out, sizes
 
 
 class Codec(Encoder):
@@ -236,8 +245,8 @@ class Codec(Encoder):
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self._clear()
 
-    def _ids(self, units: list[bytes]) -> list[list[int]]:
-        return self.pieces.encode([u.decode("utf-8", "replace").replace(" ", MARK) for u in units])
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.pieces.encode(b"\n".join(units).decode("utf-8", "replace").replace(" ", MARK).split("\n") if b"\n" not in units else [u.decode("utf-8", "replace").replace(" ", MARK) for u in units])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
