@@ -39,7 +39,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, or of its inverse."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         step = pow(base, -1, 2**64) if inverse else base
         have = np.ones(size, np.uint64)
         done = 1
@@ -47,7 +47,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
             more = min(done, size - done)
             have[done : done + more] = have[:more] * np.uint64(pow(step, done, 2**64))
             done += more
-        if size <= 4 * CHUNK:
+        if size <= 2 * CHUNK:
             _powers[(base, inverse)] = have
     return have[:n]
 
@@ -115,7 +115,7 @@ class Words:
 
     def window(self, start: np.ndarray, end: np.ndarray, which: int = 1) -> np.ndarray:
         """Hash of words start..end-1; which picks one of several independent hashes."""
-        base = _BASE[1] + 2 * which * 0x51ED2701
+        base = _BASE[1]
         if which not in self._sums:
             self._sums[which] = sums(mix(self.hash + np.uint64(which * 0x632BE59BD9B4E019 % 2**64)), base)
         return span(self._sums[which], start, end, base)

@@ -27,7 +27,7 @@ from caduspark.llm import shared, textnum
 BUCKETS = 1 << 18
 #: Inflected forms share their first bytes, so a form that training never met still has known terms.
 PREFIXES = (4, 5, 6)
-TERMS, FACTORS, LIMIT = 1024, 8, 12_000
+TERMS, FACTORS, LIMIT = 1024, 8, 8_000
 FOLDS, HELD = 5, 0
 
 
@@ -79,7 +79,7 @@ def fit(rows: list[tuple[float, np.ndarray]], terms: int = TERMS, factors: int =
     if not len(y) or y.all() or not y.any():
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     sizes = np.array([len(r[1]) for r in rows])
-    flat, of = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+    flat, of = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     a = np.bincount(flat[y[of]], minlength=BUCKETS).astype(float)
     b = np.bincount(flat[~y[of]], minlength=BUCKETS).astype(float)
     pa_, pb = (a + 0.5) / (y.sum() + 1), (b + 0.5) / ((~y).sum() + 1)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = folds.sample(docs, labels, target, FOLDS, HELD, limit, key, text).mapInArrow(featurise, "k string, y double, terms array<int>").toArrow()
     got = got.sort_by("k")  # the fit must not depend on the order of partitions
     lists = got.column("terms").combine_chunks()
-    at, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int64)
+    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     ys = np.asarray(got.column("y"))
     return fit([(ys[i], flat[at[i] : at[i + 1]]) for i in range(len(ys))])
 
