@@ -9,10 +9,9 @@ the same reach, the whole reach repeats (an extension that never breaks).  Other
 somewhere and its windows are compared one by one, again by a count, never in pairs; runs of repeated
 windows are the maximal repeats.
 
-Shuffles: anchors (about 7 % of the words) twice, windows only at broken reaches, the text once (both
-joins use one exchange).  Hot passages are pre-aggregated map-side in the counts; the joins back are inner or left
+Shuffles: anchors (about 7 % of the words) twice, windows only at broken reaches, the text twice.  Hot passages are pre-aggregated map-side in the counts; the joins back are inner or left
 joins whose other side has one row a key, which adaptive execution splits.  Equality is decided by
-128-bit hashes.
+96-bit hashes (64 for the first look).
 
 Defined results: null, empty and blank texts have no words and nothing is removed from them; texts shorter than
 the window are kept whole; a row that occurs twice (same id, same text) counts as two documents, so both
@@ -36,6 +35,11 @@ WINDOW, SEED = 35, 8
 ADDED = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
 
 
+def half(hashed: np.ndarray) -> np.ndarray:
+    """The upper 32 bits, as Spark's int: random bits are what these shuffles cost."""
+    return (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def anchors_of(words: textnum.Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor hash, reach hash) of each anchor; first window counts within its text."""
     n = len(words.start)
@@ -64,7 +68,7 @@ def anchors_of(words: textnum.Words, window: int, seed: int) -> tuple[np.ndarray
     number = np.diff(np.append(heads, len(start)))
     a = start[heads]
     reach = words.window(a, a + number + window - 1, 2) + number.astype(np.uint64)
-    return text[heads], a - words.first[text[heads]], number, seeds[chosen[heads]].view(np.int64), reach.view(np.int64)
+    return text[heads], a - words.first[text[heads]], number, seeds[chosen[heads]].view(np.int64), half(reach)
 
 
 def _seeder(window: int, seed: int):
@@ -75,7 +79,7 @@ def _seeder(window: int, seed: int):
                 text, first, number, anchor, reach = anchors_of(textnum.Words(data, offsets), window, seed)
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), tids.take(rows), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(anchor, pa.int64()), pa.array(reach, pa.int64())],
+                    [ids.take(rows), tids.take(rows), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(anchor, pa.int64()), pa.array(reach, pa.int32())],
                     names=["__key", "__tid", "first", "number", "anchor", "reach"],
                 )
 
@@ -104,7 +108,7 @@ def _windows(window: int):
                 rows = pa.array(text + lo)
                 h1, h2 = words.window(at, at + window, 3), words.window(at, at + window, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), tids.take(rows), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    [ids.take(rows), tids.take(rows), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(half(h2))],
                     names=["__key", "__tid", "first", "h1", "h2"],
                 )
 
@@ -154,10 +158,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         *[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)],
         F.col(f"`{key}`").alias("__key"),
         F.col(f"`{text}`").alias("__text"),
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__tid"),
+        F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__tid"),
     )
     slim = base.select("__key", "__tid", "__text")
-    seeds = slim.mapInArrow(_seeder(window, seed), f"__key {key_type}, __tid long, first int, number int, anchor long, reach long")
+    seeds = slim.mapInArrow(_seeder(window, seed), f"__key {key_type}, __tid int, first int, number int, anchor long, reach int")
     seeds = shared.write_table(seeds, "anchors")
     met = (
         seeds.groupBy("anchor")
@@ -181,7 +185,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return left.join(right, left["__key"].eqNullSafe(right["__k"]) & (left["__tid"] == right["__t"]), how).drop("__k", "__t")
 
     checked = beside(slim, per_doc.select("__key", "__tid", "broken").where("broken is not null"), "inner")
-    checked = checked.mapInArrow(_windows(window), f"__key {key_type}, __tid long, first int, h1 long, h2 long")
+    checked = checked.mapInArrow(_windows(window), f"__key {key_type}, __tid int, first int, h1 long, h2 int")
     checked = shared.write_table(checked, "windows")
     twice = checked.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     again = checked.join(twice, ["h1", "h2"]).select("__key", "__tid", "first", F.lit(1).alias("number"))
