@@ -2,15 +2,17 @@
 
 In each pass, the vectors of a label are put in lexicographic order of the concatenated signs of BITS random
 projections (ties in random order) and cut into blocks; every block is compared with itself and the
-next one, in double precision, a block pair to a task.  A pair of vectors is counted in the first pass
-that brings it together: each vector carries its blocks of all passes, so a task knows what earlier passes
-covered and no pair is ever written out.  Tasks return link counts and, for the components, one edge a
-vector (its local root); passes are then united by connected components.
+next one, in double precision, a block pair to a task.  Tasks return one edge a vector (its local root), never
+pairs; all passes are united by connected components.
 
-The number of passes follows from the largest label, so that a pair at the threshold is met with probability
-1 - MISS at least.  Exact copies are folded into one vector with a weight first.  A run of blocks that
-are all alike (a group larger than two blocks) is compared at growing distances in the first pass for as long as
-block pairs stay dense, so large groups are counted in full.
+The number of passes follows from the largest label, so that a pair at the threshold agrees in the first bits
+(a cell) of some pass with probability 1 - MISS at least.  A cell of at most a block lies within two neighbouring blocks.
+In a larger one (a group of near copies, or vectors that lean to one side), every vector outside
+the cell's commonest component is compared with the whole cell, so each pair that agrees is compared or
+already connected, however the vectors lie.
+
+Links never leave a component, so n_links is counted exactly afterwards, over all pairs of each component: small
+components share tasks, large ones run as a grid of tiles.  Exact copies are folded into one vector with a weight first.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors without label, link with
 nothing (n_links 0, component their own id, kept); vectors of different length don't link; an id that
@@ -24,22 +26,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caduspark.llm import shared
 
 BLOCK, BITS, MISS = 1_024, 24, 1e-4
-#: A block pair with this share of linked pairs is dense.
-DENSE = 0.05
+#: Side, in blocks, of the tiles in which large cells and components are compared.
+TILE = 4
+
+
+def cell_bits(largest: int, block: int) -> int:
+    """Leading bits of a key that make a cell: about half a block of the largest label, if it is spread evenly."""
+    return math.ceil(math.log2(largest / block)) + 1
 
 
 def passes_for(largest: int, threshold: float, block: int) -> int:
-    """Passes after which a pair at the threshold has stood in one window with probability 1 - MISS."""
+    """Passes after which a pair at the threshold has agreed in a whole cell with probability 1 - MISS."""
     if largest <= 2 * block:
         return 1
     same = 1 - math.acos(threshold) / math.pi
-    bits = math.ceil(math.log2(largest / block)) + 1
+    bits = cell_bits(largest, block)
     return max(2, min(64, math.ceil(math.log(MISS) / math.log(1 - same**bits))))
 
 
@@ -48,6 +55,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).astype(float).reshape(len(column), -1)
 
 
+def _units(table: pa.Table) -> np.ndarray:
+    x = _matrix(table.column("vector"))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _signs(passes: int, seed: int):
     """rows (id, label, dim, vector) -> keys of all passes."""
 
@@ -67,8 +79,8 @@ def _signs(passes: int, seed: int):
     return run
 
 
-def _ranked(keys: DataFrame, block: int) -> DataFrame:
-    """(rep, blocks of all passes): exact ranks in every (label, dim, pass), from sums over bounded groups."""
+def _ranked(keys: DataFrame, block: int, spare: int) -> DataFrame:
+    """(rep, blocks of all passes, cells: keys without their last `spare` bits): exact ranks in every (label, dim, pass), from sums over bounded groups."""
     rows = keys.select("rep", "label", "dim", F.posexplode("keys").alias("pass", "key"))
     rows = rows.withColumn("tie", F.xxhash64("rep", "pass")).withColumn("cell", F.shiftleft("key", 6).bitwiseOR(F.pmod("tie", F.lit(64))))
     of = ["label", "dim", "pass"]
@@ -79,36 +91,25 @@ def _ranked(keys: DataFrame, block: int) -> DataFrame:
         *of, "cell", (F.col("c0") + F.sum("n").over(Window.partitionBy(*of, "coarse").orderBy("cell")) - F.col("n")).alias("c0")
     )
     place = F.col("c0") + F.row_number().over(Window.partitionBy(*of, "cell").orderBy("tie", "rep")) - 1
-    rows = rows.join(cells.hint("merge"), [*of, "cell"]).select("rep", "pass", F.floor(place / block).cast("int").alias("block"))
-    return rows.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda x: x["block"]).alias("blocks"))
-
-
-def compare(home: pa.Table, guest: pa.Table | None, turn: int, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]], float]:
-    """Links that no earlier pass has seen: (links by id, edges to local roots, share of linked pairs)."""
-    tables = [home] if guest is None else [home, guest]
-    ids = np.concatenate([np.asarray(t.column("rep")) for t in tables])
-    weight = np.concatenate([np.asarray(t.column("weight")) for t in tables])
-    blocks = np.concatenate([np.asarray(t.column("blocks").combine_chunks().flatten()).reshape(len(t), -1) for t in tables])
-    reach = np.concatenate([np.asarray(t.column("reach")) for t in tables])
-    x = _matrix(home.column("vector"))
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    if guest is None:
-        a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-        total = len(x) * (len(x) - 1) / 2
-    else:
-        y = _matrix(guest.column("vector"))
-        y /= np.sqrt((y * y).sum(1))[:, None]
-        a, b = np.nonzero(x @ y.T >= threshold)
-        b = b + len(x)
-        total = len(x) * len(y)
-    dense = len(a) / max(1, total)
-    for p in range(turn):
-        far = np.abs(blocks[a, p] - blocks[b, p])
-        limit = np.where(blocks[a, p] <= blocks[b, p], reach[a], reach[b]) if p == 0 else 1
-        new = far > limit
-        a, b = a[new], b[new]
-    links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-    root = np.arange(len(ids))
+    rows = rows.join(cells.hint("merge"), [*of, "cell"]).select("rep", "pass", F.floor(place / block).cast("int").alias("block"), F.shiftright("key", spare).alias("at"))
+    turns = rows.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "at"))).alias("turns"))
+    return turns.select("rep", F.col("turns.block").alias("blocks"), F.col("turns.at").alias("cells"))
+
+
+def linked(x: np.ndarray, y: np.ndarray | None, threshold: float):
+    """Index pairs of linked unit vectors, rows of x against rows of y (None: x itself, each pair once), in strips."""
+    for start in range(0, len(x), BLOCK):
+        if y is None:
+            a, b = np.nonzero(np.triu(x[start : start + BLOCK] @ x[start:].T >= threshold, 1))
+            yield a + start, b + start
+        else:
+            a, b = np.nonzero(x[start : start + BLOCK] @ y.T >= threshold)
+            yield a + start, b
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of each one's component."""
+    root = np.arange(n)
     while len(a):  # label propagation with jumps: a few vectorised rounds
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -119,35 +120,73 @@ def compare(home: pa.Table, guest: pa.Table | None, turn: int, threshold: float)
         root = root[root]
         if (root == before).all():
             break
-    hit = np.flatnonzero(links)
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return dict(zip(ids[hit].tolist(), links[hit].astype(np.int64).tolist())), list(zip(ids[moved].tolist(), ids[root[moved]].tolist())), dense
+    return root
 
 
-def _task(threshold: float):
-    """One block with itself (far = 0) or with the block `far` further on."""
+def _edges(threshold: float):
+    """Edges to local roots: home rows with each other (far = 0) or with the guests."""
 
     def run(table: pa.Table) -> pa.Table:
-        turn, far = table.column("turn")[0].as_py(), table.column("far")[0].as_py()
+        far = table.column("far")[0].as_py()
         guest = np.asarray(table.column("guest"))
-        home = table.filter(pa.array(~guest))
-        other = table.filter(pa.array(guest))
-        if not len(home) or (far and not len(other)):
-            links, edges, dense = {}, [], 0.0
-        else:
-            links, edges, dense = compare(home, other if far else None, turn, threshold)
-        a = [*links, *(e[0] for e in edges)]
-        b = [None] * len(links) + [e[1] for e in edges]
-        n = [*links.values()] + [None] * len(edges)
-        if dense >= DENSE and far:
-            a, b, n = [*a, None], [*b, table.column("block")[0].as_py()], [*n, None]
-        first = table.slice(0, 1)
-        same = lambda c: pa.array([first.column(c)[0].as_py()] * len(a), table.schema.field(c).type)
-        return pa.table({"label": same("label"), "dim": same("dim"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        home, other = table.filter(pa.array(~guest)), table.filter(pa.array(guest))
+        a, b = np.empty(0, int), np.empty(0, int)
+        ids, at = np.unique(np.concatenate([np.asarray(home.column("rep")), np.asarray(other.column("rep"))]), return_inverse=True)
+        if len(home) and (len(other) or not far):
+            strips = linked(_units(home), _units(other) if far else None, threshold)
+            for x, y in strips:  # one strip's pairs at a time, reduced to an edge a vector
+                x, y = at[: len(home)][x], (at[len(home) :] if far else at)[y]
+                root = roots(len(ids), np.concatenate([a, x]), np.concatenate([b, y]))
+                a = np.flatnonzero(root != np.arange(len(ids)))
+                b = root[a]
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
     return run
 
 
+def _counts(threshold: float):
+    """Links of one tile: pairs of one component among the home rows (i = j) or of home rows and guests."""
+
+    def run(table: pa.Table) -> pa.Table:
+        guest = np.asarray(table.column("guest"))
+        home, other = table.filter(pa.array(~guest)), table.filter(pa.array(guest))
+        sides = [home] if table.column("i")[0].as_py() == table.column("j")[0].as_py() else [home, other]
+        ids, weight, group = ([np.asarray(t.column(c)) for t in sides] for c in ("rep", "weight", "component"))
+        n = [np.zeros(len(t)) for t in sides]
+        if all(len(t) for t in sides):
+            for a, b in linked(_units(home), _units(other) if len(sides) == 2 else None, threshold):
+                one = group[0][a] == group[-1][b]
+                a, b = a[one], b[one]
+                n[0] += np.bincount(a, weight[-1][b], len(n[0]))
+                n[-1] += np.bincount(b, weight[0][a], len(n[-1]))
+        return pa.table({"rep": pa.array(np.concatenate(ids), pa.int64()), "n": pa.array(np.concatenate(n).astype(np.int64), pa.int64())})
+
+    return run
+
+
+def _tiles(size: Column, side: int) -> Column:
+    return F.ceil(size / side).cast("int")
+
+
+def _tile(tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), tiles).cast("int")
+
+
+def _count_links(reps: DataFrame, components: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(rep, n): links with other vectors, over all pairs of each component."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("m"))
+    total = components.count()
+    large = sizes.where(F.col("m") > block)  # one component a block of rows at most
+    rows = components.join(F.broadcast(large), "component", "left").select(F.col("node").alias("rep"), "component", "m")
+    tiles = F.coalesce(_tiles(F.col("m"), TILE * block), F.lit(1))
+    shared_by = F.pmod(F.xxhash64("component"), F.lit(max(1, math.ceil(total / block))))
+    rows = rows.select("rep", "component", F.col("m").isNotNull().alias("large"), F.when(F.col("m").isNull(), shared_by).otherwise(F.col("component")).alias("group"), tiles.alias("tiles"), _tile(tiles).alias("own"))
+    rows = rows.join(reps.select("rep", "weight", "dim", "vector"), "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("guest", F.col("own") > F.col("with"))
+    rows = rows.select("rep", "component", "weight", "vector", "guest", "dim", "large", "group", "i", "j")
+    return rows.groupBy("dim", "large", "group", "i", "j").applyInArrow(_counts(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
     shared.tune(vectors.sparkSession)
@@ -162,47 +201,44 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     largest = reps.groupBy("label", "dim").count().agg(F.max("count")).collect()[0][0] or 0
     passes = passes_for(largest, threshold, block)
     keys = reps.select("rep", "label", "dim", "vector").mapInArrow(_signs(passes, seed), f"rep long, label {kind}, dim int, keys array<long>")
-    base = shared.write_table(reps.join(_ranked(keys, block), "rep").withColumn("reach", F.lit(1)), "blocks")
-    schema = f"label {kind}, dim int, a long, b long, n long"
-    columns = ("label", "dim", "turn", "far", "block")
-
-    def grid(rows: DataFrame, far: int, turns: int, first: int) -> DataFrame:
-        """Rows of all block pairs `far` apart in passes first..turns-1."""
-        seen = rows.withColumn("turn", F.explode(F.sequence(F.lit(first), F.lit(turns - 1)))).withColumn("far", F.lit(far))
-        seen = seen.withColumn("block", F.element_at("blocks", F.col("turn") + 1))
-        home = seen.withColumn("guest", F.lit(False))
-        if not far:
-            return home
-        guest = seen.where(F.col("block") >= far).withColumn("block", F.col("block") - far).withColumn("guest", F.lit(True))
-        return home.unionByName(guest)
+    spare = max(0, BITS - cell_bits(largest, block)) if passes > 1 else 0
+    base = shared.write_table(reps.join(_ranked(keys, block, spare), "rep"), "blocks")
+    columns = ("label", "dim", "turn", "far", "block", "tile")
+
+    def turns(rows: DataFrame) -> DataFrame:
+        seen = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+        return seen.withColumn("block", F.element_at("blocks", F.col("turn") + 1)).withColumn("cell", F.element_at("cells", F.col("turn") + 1))
 
     def solve(tasks: DataFrame) -> DataFrame:
-        return shared.write_table(tasks.groupBy(*columns).applyInArrow(_task(threshold), schema), "links")
-
-    found = [solve(grid(base, 0, 1, 0).unionByName(grid(base, 1, 1, 0)))]
-    far, dense = 1, found[0].where("a is null").select("label", "dim", F.col("b").alias("block0"))
-    while dense.limit(1).count():
-        far += 1
-        home = F.element_at("blocks", 1).cast("long")
-        tasks = grid(base, far, 1, 0)
-        tasks = tasks.join(dense, (tasks["label"] == dense["label"]) & (tasks["dim"] == dense["dim"]) & (tasks["block"] == dense["block0"]), "left_semi")
-        found.append(solve(tasks))
-        wide = dense.select(F.col("label").alias("l0"), F.col("dim").alias("d0"), F.col("block0"))
-        base = shared.write_table(
-            base.join(wide, (base["label"] == wide["l0"]) & (base["dim"] == wide["d0"]) & (home == wide["block0"]), "left")
-            .withColumn("reach", F.when(F.col("block0").isNotNull(), far).otherwise(F.col("reach")))
-            .drop("l0", "d0", "block0"),
-            "blocks",
-        )
-        dense = found[-1].where("a is null").select("label", "dim", F.col("b").alias("block0"))
-    if passes > 1:
-        found.append(solve(grid(base, 0, passes, 1).unionByName(grid(base, 1, passes, 1))))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    counts = links.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    edges = links.where("a is not null and b is not null").select("a", "b")
+        tasks = tasks.select("rep", "vector", "guest", *columns)
+        return shared.write_table(tasks.groupBy(*columns).applyInArrow(_edges(threshold), "a long, b long"), "links")
+
+    blocks = turns(base).withColumn("block", F.col("block").cast("long")).withColumn("tile", F.lit(0))
+    alone = blocks.withColumn("far", F.lit(0)).withColumn("guest", F.lit(False))
+    home = blocks.withColumn("far", F.lit(1)).withColumn("guest", F.lit(False))
+    guest = blocks.where("block >= 1").withColumn("block", F.col("block") - 1).withColumn("far", F.lit(1)).withColumn("guest", F.lit(True))
+    edges = solve(alone.unionByName(home).unionByName(guest))
     components = shared.connected_components(edges)
+    if passes > 1:
+        cell = ["label", "dim", "turn", "cell"]
+        members = turns(base.select("rep", "label", "dim", "blocks", "cells")).select("rep", *cell)
+        large = shared.write_table(members.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > block), "cells")
+        if large.limit(1).count():
+            of = base.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            large = F.broadcast(large)  # one cell a block of rows and pass at most
+            counted = turns(of.drop("vector")).join(large, cell).groupBy(*cell, "size", "component").agg(F.count("*").alias("n"))
+            top = counted.groupBy(*cell, "size").agg(F.max(F.struct("n", "component")).alias("top"))
+            top = top.select(*cell, "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")).where("others > 0")
+            top = shared.write_table(top, "cells")
+            side = TILE * block
+            near = turns(of).join(F.broadcast(top), cell).withColumn("block", F.col("cell")).withColumn("far", F.lit(1))
+            wide, high = _tiles(F.col("size"), side), _tiles(F.col("others"), side)
+            each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            home = near.where(F.col("component") != F.col("most")).withColumn("with", each(wide)).withColumn("tile", _tile(high) * wide + F.col("with"))
+            guest = near.withColumn("with", each(high)).withColumn("tile", F.col("with") * wide + _tile(wide))
+            more = solve(home.withColumn("guest", F.lit(False)).unionByName(guest.withColumn("guest", F.lit(True))))
+            components = shared.connected_components(edges.unionByName(more))
+    counts = _count_links(reps, components, threshold, block)
     of_rep = (
         reps.join(counts, "rep", "left")
         .join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -207,6 +207,24 @@ def test_embedding_neardup(spark, block):
     assert [tuple(r) for r in embed_neardup.near_duplicates(df.limit(1).select(F.lit(None).cast("long").alias("vec_id"), "embedding", "label")).collect()] == [(None, 0, None, None)]
 
 
+def test_large_noisy_groups_are_counted_in_full(spark):
+    rng = np.random.default_rng(11)
+    hot, side = rng.normal(size=16), rng.normal(size=16) * 3
+    rows = [(hot + rng.normal(size=16) * 0.2).tolist() for _ in range(400)]  # a third of all rows
+    rows += [(side + rng.normal(size=16)).tolist() for _ in range(400)]  # all lean to one side, few are linked
+    rows += [rng.normal(size=16).tolist() for _ in range(400)]
+    rows = [(i, v, 1) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v, _ in rows])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    links = x @ x.T >= 0.93
+    root = np.arange(len(x))
+    while (low := np.where(links, root[None, :], len(x)).min(1)).tolist() != root.tolist():
+        root = low
+    got = sorted(map(tuple, embed_neardup.near_duplicates(df, block=16).collect()))
+    assert got == [(i, int(links[i].sum()) - 1, int(root[i]), bool(root[i] == i)) for i in range(len(x))]
+
+
 # --- op5, op9 -------------------------------------------------------------------------------------------
 
 
