@@ -47,7 +47,7 @@ def passes_for(largest: int, threshold: float, block: int) -> int:
         return 1
     same = 1 - math.acos(threshold) / math.pi
     bits = cell_bits(largest, block)
-    return max(2, min(64, math.ceil(math.log(MISS) / math.log(1 - same**bits))))
+    return max(2, math.ceil(math.log(MISS) / math.log1p(-(same**bits))))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -225,6 +225,12 @@ def test_large_noisy_groups_are_counted_in_full(spark):
     assert got == [(i, int(links[i].sum()) - 1, int(root[i]), bool(root[i] == i)) for i in range(len(x))]
 
 
+@pytest.mark.parametrize("largest", [10**4, 10**6, 10**8, 10**9])
+def test_passes_keep_the_miss_rate(largest):
+    agree = (1 - math.acos(0.93) / math.pi) ** (math.ceil(math.log2(largest / 1024)) + 1)
+    assert (1 - agree) ** embed_neardup.passes_for(largest, 0.93, 1024) <= embed_neardup.MISS
+
+
 # --- op5, op9 -------------------------------------------------------------------------------------------
 
 
