@@ -21,17 +21,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caduspark.llm import shared
+
 BITS, SHARDS = 4, 16
 #: Cells of the curve are split into 2**TEXT_BITS by text and 2**KEY_BITS by key, for hot cells and hot texts.
 TEXT_BITS, KEY_BITS = 4, 6
 
 
-def number_of(df: DataFrame, name: str) -> Column:
-    """An order-preserving number for a column: itself, or the first six bytes of its text."""
-    if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return F.col(f"`{name}`").cast("double")
-    raw = F.rpad(F.hex(F.substring(F.encode(F.col(f"`{name}`").cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(raw, 16, 10).cast("double")
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def value_of(df: DataFrame, name: str) -> Column:
+    """What a dimension is ordered by: the number, or the whole text."""
+    return F.col(f"`{name}`").cast("double" if df.schema[name].dataType.simpleString() in NUMBERS else "string")
+
+
+def text_cuts(rows: DataFrame, names: list[str], bits: int) -> dict[str, list[str]]:
+    """Quantiles of text columns, 2**bits - 1 each (none for a column of nulls), by running sums over the distinct values' counts.
+
+    Values are dealt out by range, so that no sum runs over more than one part's values.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(n).alias("value")) for i, n in enumerate(names)])
+    counts = rows.select(F.inline(pairs)).where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    counts = shared.write_table(counts.repartitionByRange("dim", "value").withColumn("part", F.spark_partition_id()), "values")
+    of = Window.partitionBy("dim")  # as many rows as parts
+    parts = counts.groupBy("dim", "part").agg(F.sum("n").alias("pn"))
+    parts = parts.select("dim", "part", (F.sum("pn").over(of.orderBy("part")) - F.col("pn")).alias("c0"), F.sum("pn").over(of).alias("total"))
+    upto = F.col("c0") + F.sum("n").over(Window.partitionBy("dim", "part").orderBy("value"))
+    ranked = counts.join(F.broadcast(parts), ["dim", "part"]).select("dim", "value", "n", upto.alias("upto"), "total")
+    share = lambda c: F.floor(c * (1 << bits) / F.col("total")).cast("int")
+    ranked = ranked.select("dim", "value", (share(F.col("upto") - F.col("n")) + 1).alias("first"), F.least(share(F.col("upto")), F.lit((1 << bits) - 1)).alias("last"))
+    found = ranked.where("first <= last").select("dim", "value", F.explode(F.sequence("first", "last")).alias("cut")).collect()
+    shared.drop_table(counts)
+    return {n: [r["value"] for r in sorted(found, key=lambda r: r["cut"]) if r["dim"] == i] for i, n in enumerate(names)}
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -95,16 +117,19 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
         F.xxhash64(raw).alias("__text"),
-        *[number_of(docs, d).alias(f"__d{i}") for i, d in enumerate((*dims, key))],
+        *[value_of(docs, d).alias(f"__d{i}") for i, d in enumerate((*dims, key))],
     ).withColumn(f"__d{len(dims) + 1}", F.col("size").cast("double"))
     n = len(dims) + 2
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = rows.agg(F.sum("size").alias("bytes"), *[F.percentile_approx(f"__d{i}", cuts, 10_000).alias(f"q{i}") for i in range(n)]).collect()[0]
+    texts = [f"__d{i}" for i in range(n) if rows.schema[f"__d{i}"].dataType.simpleString() == "string"]
+    numbers = [f"__d{i}" for i in range(n) if f"__d{i}" not in texts]
+    found = rows.agg(F.sum("size").alias("bytes"), *[F.percentile_approx(d, cuts, 10_000).alias(d) for d in numbers]).collect()[0].asDict()
     total = found["bytes"] or 1
+    found |= text_cuts(rows, texts, bits) if texts else {}
     axes = []
     for i in range(n):
         cell = F.lit(0)
-        for c in found[f"q{i}"] or []:  # 2**bits - 1 numbers
+        for c in found[f"__d{i}"] or []:  # 2**bits - 1 values
             cell = cell + F.when(F.col(f"__d{i}") > F.lit(c), 1).otherwise(0)
         axes.append(cell)
     curve = hilbert_index(axes, bits)

@@ -405,6 +405,15 @@ def test_sharding(spark):
     assert hilbert_shard.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_tells_long_texts_apart(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    curves = lambda df: {int(str(r.doc_id)[-8:]): r.curve for r in hilbert_shard.shard(df).collect()}
+    want = curves(docs)
+    assert curves(docs.withColumn("source", F.concat(F.lit("https://www.example.org/"), "source"))) == want
+    assert curves(docs.withColumn("doc_id", F.concat(F.lit("document-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))) == want
+    assert len(curves(docs.withColumn("source", F.lit(None).cast("string")))) == len(want)
+
+
 # --- op10 -----------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
