@@ -85,6 +85,20 @@ def phi_doc_summary(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop"))
 
 
+@query()
+def phi_hits_by_type_all(spark, sf_dir):
+    """phi_hits_by_type for all ten types (no SQL: six patterns differ in DuckDB; tested against plain Python)."""
+    rows = _spans(read(spark, sf_dir, "documents"), "doc_id")
+    return rows.groupBy("phi_type").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query()
+def phi_doc_summary_all(spark, sf_dir):
+    """phi_doc_summary for all ten types (tested against plain Python)."""
+    rows = _spans(read(spark, sf_dir, "documents"), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop"))
+
+
 def _merged(df: DataFrame, key: str) -> DataFrame:
     rows = df.select(key, F.explode(detect.regex_hits(F.col("text"))).alias("h"))
     return rows.select(key, F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.col("h.phi_type").alias("phi_type"), F.col("h.value").alias("value"), F.col("h.confidence").alias("confidence"))

@@ -3,13 +3,15 @@
 import hashlib
 import hmac
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from caduspark.functions import detect, pure, redact, signals
+from caduspark.functions import detect, fixed, pure, redact, signals
 from caduspark.functions.hashing import hmac_sha256
 from caduspark.operators import calibrate, chain, device, metrics, propagation, routing, rules, scan
+from caduspark.plans import registry
 from caduspark.sources import policy, store
 
 
@@ -30,6 +32,17 @@ def test_patterns_equal_plain_python(spark):
     assert got == [pure.hits_of(t) for t in CASES]
 
 
+def test_documents_are_counted_by_all_types(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(i, kind, m.start(), m.end()) for i, text in enumerate(CASES) for kind, pattern, _, _ in fixed.PATTERNS for m in re.finditer(pattern, text)]
+    kinds, docs = sorted({f[1] for f in found}), sorted({f[0] for f in found})
+    assert len(kinds) == 10
+    got = registry.queries()["phi_hits_by_type_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, sum(f[1] == k for f in found), len({f[0] for f in found if f[1] == k})) for k in kinds]
+    got = registry.queries()["phi_doc_summary_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(d, sum(f[0] == d for f in found), min(f[2] for f in found if f[0] == d), max(f[3] for f in found if f[0] == d)) for d in docs]
+
+
 def test_merge_keeps_union_and_winner(spark):
     rows = spark.range(1).select(
         detect.merge(
