@@ -18,6 +18,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 KEY = b"an audit key for tests only, 32+"
 DRUGS, CODES = ["amoxicillin", "lisinopril", "metformin"], ["e11.9", "i10"]
+NAMES = r"(?U)\b\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+\b"
 NOW_US = 1_704_100_000_000_000
 
 
@@ -137,6 +138,16 @@ def phi_multilingual_filter(spark, sf_dir):
     return docs.select("doc_id", "lang", F.size(detect.keep_by_language(F.col("t"), weak, F.col("lang"))).cast("long").alias("kept"))
 
 
+@query()
+def phi_multilingual_filter_all(spark, sf_dir):
+    """F6 over whole documents: each pair of capitalised words is a weak NAME hit (tested against plain Python)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    weak = F.transform(detect.spans(F.col("t"), NAMES), lambda s: detect.hit(F.lit("NAME"), s["start"], s["end"], s["value"], F.lit(0.4), F.lit("test")))
+    rows = docs.select("doc_id", "lang", "t", weak.alias("weak"))
+    kept = F.coalesce(F.size(detect.keep_by_language(F.col("t"), F.col("weak"), F.coalesce("lang", F.lit("")))), F.lit(0))
+    return rows.select("doc_id", "lang", F.size("weak").cast("long").alias("weak"), kept.cast("long").alias("kept"))
+
+
 _ADVERSARIAL = f"""SELECT note_id, CASE note_id % 4 WHEN 0 THEN replace(text, 'SSN ', 'SSN' || chr(8203) || ' ') WHEN 1 THEN replace(text, '@', '%40') WHEN 2 THEN replace(text, 'example', 'ex' || chr(1072) || 'mple') ELSE replace(text, '-555-', '-' || chr(65301) || '55-') END AS text FROM ({views.NOTES})"""
 
 

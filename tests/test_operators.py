@@ -43,6 +43,21 @@ def test_documents_are_counted_by_all_types(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(d, sum(f[0] == d for f in found), min(f[2] for f in found if f[0] == d), max(f[3] for f in found if f[0] == d)) for d in docs]
 
 
+def test_language_filter_reads_whole_documents(spark, tmp_path):
+    far = "x " * 500
+    docs = [("es", far + "la paciente Juana Pérez y " + far + "Otra Persona"), ("es", far + "Juana Pérez"), ("fr", "Madame Curie, " + far + "le Docteur Émile Roux"), ("en", far + "paciente Juana Pérez"), (None, "Ana Paz"), ("es", None), ("es", "")]
+    rows = [(i, *d) for i, d in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    upper, lower = ("".join(filter(test, map(chr, range(0x250)))) for test in (str.isupper, lambda c: c.islower() and c not in "ªº"))
+    want = []
+    for i, lang, text in rows:
+        found = [m.span() for m in re.finditer(rf"\b[{upper}][{lower}]+\s+[{upper}][{lower}]+\b", text or "")]
+        cues = fixed.LANGUAGE_CUES.get(lang, {}).get("NAME", [])
+        want.append((i, lang, len(found), sum(any(c in text[max(a - 32, 0) : b + 32].lower() for c in cues) for a, b in found)))
+    assert [w[3] for w in want] == [1, 0, 2, 0, 0, 0, 0]
+    assert sorted(map(tuple, registry.queries()["phi_multilingual_filter_all"](spark, str(tmp_path)).collect())) == want
+
+
 def test_merge_keeps_union_and_winner(spark):
     rows = spark.range(1).select(
         detect.merge(
