@@ -9,35 +9,30 @@ the same reach, the whole reach repeats (an extension that never breaks).  Other
 somewhere and its windows are compared one by one, again by a count, never in pairs; runs of repeated
 windows are the maximal repeats.
 
-Shuffles: anchors (about 7 % of the words) twice, windows only at broken reaches, the text twice.  Hot passages are pre-aggregated map-side in the counts; the joins back are inner or left
-joins whose other side has one row a key, which adaptive execution splits.  Equality is decided by
-96-bit hashes (64 for the first look).
+Shuffles: anchors (about 7 % of the words) twice, windows only at broken reaches, the text twice.  Anchors and windows
+are counted with partial sums on the map side; rows meet the counts through shared.skew_join, so a passage
+that stands in a third of all documents is never one task's load.  Equality is decided by 128 bits: two
+64-bit hashes of the seed and the reach, or of the window.
 
 Defined results: null, empty and blank texts have no words and nothing is removed from them; texts shorter than
 the window are kept whole; a row that occurs twice (same id, same text) counts as two documents, so both
-copies lose what they share.  An empty table gives an empty table.  Other columns pass through.
+copies lose what they share; rows with one id and different texts, and rows with a null id, are documents of their own.
+An empty table gives an empty table.  Other columns pass through; a column of the input with the name of an added one goes on
+as <name>_in.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from caduspark.llm import shared, textnum
 
 WINDOW, SEED = 35, 8
-#: Columns that remove_repeats adds; a column of the input with such a name goes on as <name>_in.
-ADDED = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
-
-
-def half(hashed: np.ndarray) -> np.ndarray:
-    """The upper 32 bits, as Spark's int: random bits are what these shuffles cost."""
-    return (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+#: Columns that remove_repeats adds.
+ADDED = ("n_words", "n_removed", "kept", "kept_sha256")
 
 
 def anchors_of(words: textnum.Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -68,80 +63,90 @@ def anchors_of(words: textnum.Words, window: int, seed: int) -> tuple[np.ndarray
     number = np.diff(np.append(heads, len(start)))
     a = start[heads]
     reach = words.window(a, a + number + window - 1, 2) + number.astype(np.uint64)
-    return text[heads], a - words.first[text[heads]], number, seeds[chosen[heads]].view(np.int64), half(reach)
+    return text[heads], a - words.first[text[heads]], number, seeds[chosen[heads]].view(np.int64), reach.view(np.int64)
 
 
 def _seeder(window: int, seed: int):
+    """(key, tid, text) -> anchors."""
+
     def run(batches):
         for batch in batches:
-            ids, tids = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in textnum.chunks(batch, "__text"):
+            keys, tids = batch.column(0), batch.column(1)
+            for lo, _, data, offsets in textnum.pieces(batch.column(2)):
                 text, first, number, anchor, reach = anchors_of(textnum.Words(data, offsets), window, seed)
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), tids.take(rows), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(anchor, pa.int64()), pa.array(reach, pa.int32())],
-                    names=["__key", "__tid", "first", "number", "anchor", "reach"],
+                    [keys.take(rows), tids.take(rows), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(anchor), pa.array(reach)],
+                    names=["key", "tid", "first", "number", "anchor", "reach"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """Two hashes of each window of the broken reaches."""
+    """(key, tid, text, broken reaches) -> two hashes of each window of the broken reaches."""
 
     def run(batches):
         for batch in batches:
-            broken = batch.column(batch.schema.get_field_index("broken"))
-            keep = np.flatnonzero(np.asarray(broken.is_valid()))
-            if not len(keep):
-                continue
-            batch = batch.take(pa.array(keep))
-            ids, tids, broken = (batch.column(batch.schema.get_field_index(c)) for c in ("__key", "__tid", "broken"))
-            for lo, hi, data, offsets in textnum.chunks(batch, "__text"):
+            keys, tids, broken = batch.column(0), batch.column(1), batch.column(3)
+            for lo, hi, data, offsets in textnum.pieces(batch.column(2)):
                 words = textnum.Words(data, offsets)
                 part = broken.slice(lo, hi - lo)
                 flat, size = part.flatten(), np.asarray(part.value_lengths())
-                first, number = np.asarray(flat.field("first")).astype(np.int64), np.asarray(flat.field("number")).astype(np.int64)
+                first, number = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "number"))
                 text = np.repeat(np.repeat(np.arange(hi - lo), size), number)
                 start = np.repeat(first, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
                 at = words.first[text] + start
                 rows = pa.array(text + lo)
                 h1, h2 = words.window(at, at + window, 3), words.window(at, at + window, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), tids.take(rows), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(half(h2))],
-                    names=["__key", "__tid", "first", "h1", "h2"],
+                    [keys.take(rows), tids.take(rows), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=["key", "tid", "first", "h1", "h2"],
                 )
 
     return run
 
 
-def cut(text: bytes, runs: list[tuple[int, int]], window: int) -> tuple[int, int, bytes, np.ndarray]:
-    """(words, words removed, kept words joined by a space, removed mask); runs are (first window, windows)."""
-    words = text.split()  # splits at \x20 and \x09-\x0D only
-    mask = np.zeros(len(words) + 1, np.int32)
-    for first, number in runs:
-        mask[first] += 1
-        mask[min(first + number + window - 1, len(words))] -= 1
-    gone = np.cumsum(mask)[:-1] > 0
-    removed = int(gone.sum())
-    kept = words if not removed else [words[i] for i in np.flatnonzero(~gone)]
-    return len(words), removed, b" ".join(kept), gone
-
-
-def _cutter(window: int, schema: pa.Schema):
-    def run(batches):
-        for batch in batches:
-            rest = batch.select(schema.names[:-4])
-            texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.binary())
-            out = ([], [], [], [])
-            for text, runs in zip(texts, batch.column(batch.schema.get_field_index("runs"))):
-                runs = [(r["first"], r["number"]) for r in runs.as_py()] if runs.is_valid else []
-                n, removed, kept, _ = cut(text.as_py() or b"", runs, window)
-                out[0].append(n)
-                out[1].append(removed)
-                out[2].append(kept.decode("utf-8", "replace"))
-                out[3].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(v, f.type) for v, f in zip(out, list(schema)[-4:]))], schema=schema)
+def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, first: np.ndarray, number: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words removed, bytes kept of each text, those bytes) of some texts and their runs (text, first window, windows).
+
+    The kept words of a text are joined by one space each.
+    """
+    start, end, first_word = textnum.bounds(data, offsets)
+    n = np.diff(first_word)
+    change = np.zeros(len(start) + 1, np.int32)
+    np.add.at(change, first_word[text] + first, 1)
+    np.add.at(change, np.minimum(first_word[text] + first + number + window - 1, first_word[text + 1]), -1)
+    gone = np.cumsum(change[:-1]) > 0
+    removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first_word])
+    of, start, end = np.repeat(np.arange(len(n)), n)[~gone], start[~gone], end[~gone]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    between = end[:-1][of[1:] == of[:-1]]  # white space after a kept word that is not its text's last one
+    data = data.copy()
+    data[between] = 0x20
+    inside[between] = True
+    sizes = np.bincount(of, end - start, len(n)).astype(np.int64) + np.maximum(np.bincount(of, minlength=len(n)) - 1, 0)
+    return n, removed, sizes, data[inside]
+
+
+def _cutter(window: int):
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+    @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
+    def run(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi, data, offsets in textnum.pieces(texts):
+            part = runs.slice(lo, hi - lo)
+            flat, size = part.flatten(), np.asarray(part.value_lengths().fill_null(0))
+            first, number = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "number"))
+            n, removed, sizes, kept = cut(data, offsets, np.repeat(np.arange(hi - lo), size), first, number, window)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            kept = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(ends), pa.py_buffer(kept))
+            out.append(pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], fields=list(kind)))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     return run
 
@@ -150,49 +155,49 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """docs plus n_words, n_removed, kept (text), kept_sha256; see the module's docstring."""
     if not 0 < seed <= window:
         raise ValueError("seed must lie in 1..window")
-    shared.tune(docs.sparkSession)
+    spark = docs.sparkSession
+    shared.tune(spark)
     names = docs.columns
     inner = [f"__c{i}" for i in range(len(names))]
-    key_type = docs.schema[key].dataType.simpleString()
-    base = docs.select(
-        *[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)],
-        F.col(f"`{key}`").alias("__key"),
-        F.col(f"`{text}`").alias("__text"),
-        F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__tid"),
-    )
-    slim = base.select("__key", "__tid", "__text")
-    seeds = slim.mapInArrow(_seeder(window, seed), f"__key {key_type}, __tid int, first int, number int, anchor long, reach int")
+    key_type, text_at = docs.schema[key].dataType.simpleString(), inner[names.index(text)]
+    base = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)])
+    base = base.withColumn("__tid", F.xxhash64(F.coalesce(text_at, F.lit(""))))
+    slim = base.select(F.col(inner[names.index(key)]).alias("key"), F.col("__tid").alias("tid"), F.col(text_at).alias("text"))
+
+    seeds = slim.mapInArrow(_seeder(window, seed), f"key {key_type}, tid long, first int, number int, anchor long, reach long")
     seeds = shared.write_table(seeds, "anchors")
-    met = (
-        seeds.groupBy("anchor")
-        .agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
-        .where("n > 1")
-        .select("anchor", (F.col("lo") != F.col("hi")).alias("breaks"))
-    )
-    joined = seeds.join(met, "anchor").select("__key", "__tid", "first", "number", "breaks")
+    met = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).where("n > 1")
+    met = shared.write_table(met.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("breaks")), "met")
+    shared.free_shuffles(spark)
+    reaches = shared.skew_join(seeds.drop("reach"), met, ["anchor"], seeds.count())
     runs = F.struct("first", "number")
-    per_doc = joined.groupBy("__key", "__tid").agg(
-        F.collect_list(F.when(F.col("breaks"), runs)).alias("broken"), F.collect_list(F.when(~F.col("breaks"), runs)).alias("whole")
-    )
-    per_doc = shared.write_table(
-        per_doc.select("__key", "__tid", F.when(F.size("broken") > 0, F.col("broken")).alias("broken"), F.when(F.size("whole") > 0, F.col("whole")).alias("whole")),
-        "reaches",
+    reaches = reaches.groupBy("key", "tid").agg(  # sets: of equal rows one stands for all
+        F.collect_set(F.when(F.col("breaks"), runs)).alias("broken"), F.collect_set(F.when(~F.col("breaks"), runs)).alias("whole")
     )
+    reaches = shared.write_table(reaches, "reaches")
+    shared.free_shuffles(spark)
     shared.drop_table(seeds)
-
-    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnsRenamed({"__key": "__k", "__tid": "__t"})
-        return left.join(right, left["__key"].eqNullSafe(right["__k"]) & (left["__tid"] == right["__t"]), how).drop("__k", "__t")
-
-    checked = beside(slim, per_doc.select("__key", "__tid", "broken").where("broken is not null"), "inner")
-    checked = checked.mapInArrow(_windows(window), f"__key {key_type}, __tid int, first int, h1 long, h2 int")
-    checked = shared.write_table(checked, "windows")
-    twice = checked.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    again = checked.join(twice, ["h1", "h2"]).select("__key", "__tid", "first", F.lit(1).alias("number"))
-    whole = per_doc.where("whole is not null").select("__key", "__tid", F.inline("whole"))
-    runs_of = again.unionByName(whole).groupBy("__key", "__tid").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
-    out = beside(base, runs_of, "left").select(*inner, "__text", "runs")
-    schema = pa.schema([pa.field(i, to_arrow_type(f.dataType)) for i, f in zip(inner, docs.schema.fields)] + [pa.field(c, t) for c, t in ADDED.items()])
-    ddl = ", ".join(f"{i} {f.dataType.simpleString()}" for i, f in zip(inner, docs.schema.fields))
-    res = out.mapInArrow(_cutter(window, schema), ddl + ", n_words long, n_removed long, kept string, kept_sha256 string")
-    return res.select(*[F.col(i).alias(f"{c}_in" if c in ADDED else c) for c, i in zip(names, inner)], *ADDED)
+    shared.drop_table(met)
+
+    def beside(left: DataFrame, right: DataFrame, key: str, tid: str, how: str) -> DataFrame:
+        right = right.withColumnsRenamed({"key": "__k", "tid": "__t"})
+        return left.join(right, left[key].eqNullSafe(right["__k"]) & (left[tid] == right["__t"]), how).drop("__k", "__t")
+
+    broken = reaches.select("key", "tid", "broken").where(F.size("broken") > 0)
+    windows = beside(slim, broken, "key", "tid", "inner").mapInArrow(_windows(window), f"key {key_type}, tid long, first int, h1 long, h2 long")
+    windows = shared.write_table(windows, "windows")
+    shared.free_shuffles(spark)
+    twice = shared.write_table(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    again = shared.skew_join(windows, twice, ["h1", "h2"], windows.count()).select("key", "tid", "first", F.lit(1).alias("number"))
+    whole = reaches.where(F.size("whole") > 0).select("key", "tid", F.inline("whole"))
+    repeats = again.unionByName(whole).groupBy("key", "tid").agg(F.collect_set(runs).alias("__runs"))
+    repeats = shared.write_table(repeats, "repeats")
+    shared.free_shuffles(spark)
+    for table in (reaches, windows, twice):
+        shared.drop_table(table)
+
+    out = beside(base, repeats, inner[names.index(key)], "__tid", "left").withColumn("__cut", _cutter(window)(F.col(text_at), F.col("__runs")))
+    taken = [c.lower() for c in ADDED]
+    passed = [F.col(i).alias(f"{c}_in" if c.lower() in taken else c) for c, i in zip(names, inner)]
+    out = out.select(*passed, *[F.col(f"__cut.{c}") for c in ADDED[:3]])
+    return shared.reads(out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)), repeats)

@@ -17,8 +17,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 TERM_SPACE = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Texts are handled in pieces of about this many bytes (a longer text is one piece).
-CHUNK = 1 << 20
+#: Texts are handled in pieces of about this many bytes (a longer text is one piece, hashed slab by slab).
+CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +39,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, or of its inverse."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 12, 1 << (n - 1).bit_length())
         step = pow(base, -1, 2**64) if inverse else base
         have = np.ones(size, np.uint64)
         done = 1
@@ -65,6 +65,22 @@ def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> n
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE[0], slab: int = 2 * CHUNK) -> np.ndarray:
+    """Hash of data[start[i]:end[i]] for spans in order of their starts.
+
+    Prefix sums are taken slab by slab, so a text of any length needs eight bytes a byte for one slab only.
+    """
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + slab)))
+        low, high = int(start[i]), int(end[i:j].max())
+        prefix = sums(BYTE[data[low:high]], base)
+        out[i:j] = span(prefix, start[i:j] - low, end[i:j] - low, base)
+        i = j
+    return out
+
+
 def fold(data: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with A-Z and the capitals U+00C0..U+00DE in lower case."""
     out = LOWER[data]
@@ -75,6 +91,23 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of every word in bytes, and first[i]..first[i+1], the words of text i; space marks the bytes that part words."""
+    n = len(data)
+    solid = ~space[data]
+    head = solid.copy()
+    head[1:] &= ~solid[:-1]
+    inner = offsets[1:-1]
+    inner = inner[inner < n]
+    head[inner] = solid[inner]
+    tail = solid.copy()
+    tail[:-1] &= ~solid[1:]
+    before = inner[inner > 0] - 1
+    tail[before] = solid[before]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
 class Words:
     """The words of some texts: starts, ends (bytes), hash, and first[i]..first[i+1] the words of text i.
 
@@ -82,36 +115,20 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
-        if lower:
-            data = fold(data)
-        self.data, self.offsets = data, offsets
-        n = len(data)
-        solid = ~space[data]
-        head = solid.copy()
-        head[1:] &= ~solid[:-1]
-        inner = offsets[1:-1]
-        inner = inner[inner < n]
-        head[inner] = solid[inner]
-        tail = solid.copy()
-        tail[:-1] &= ~solid[1:]
-        before = inner[inner > 0] - 1
-        tail[before] = solid[before]
-        self.start, self.end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        self.first = np.searchsorted(self.start, offsets)
-        prefix = sums(BYTE[data], _BASE[0])
-        self.hash = span(prefix, self.start, self.end, _BASE[0]) + (self.end - self.start).astype(np.uint64)
-        self._bytes = prefix
+        self.data, self.offsets = fold(data) if lower else data, offsets
+        self.start, self.end, self.first = bounds(self.data, offsets, space)
+        self.hash = spans(self.data, self.start, self.end) + (self.end - self.start).astype(np.uint64)
         self._sums: dict[int, np.ndarray] = {}
 
     def of_bytes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of bytes start..end-1."""
-        return mix(span(self._bytes, start, end, _BASE[0]) + (end - start).astype(np.uint64))
+        """Hash of bytes start..end-1, in order of their starts."""
+        return mix(spans(self.data, start, end) + (end - start).astype(np.uint64))
 
     def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(words longer than size bytes, hash of their first size bytes)."""
         which = np.flatnonzero(self.end - self.start > size)
         start = self.start[which]
-        return which, mix(span(self._bytes, start, start + size, _BASE[0]) + np.uint64(size << 20))
+        return which, mix(spans(self.data, start, start + size) + np.uint64(size << 20))
 
     def window(self, start: np.ndarray, end: np.ndarray, which: int = 1) -> np.ndarray:
         """Hash of words start..end-1; which picks one of several independent hashes."""
