@@ -8,17 +8,20 @@ documents link if the weighted Jaccard similarity of their shingles is THRESHOLD
 
 1. One scan counts df; one scan draws K = BANDS * ROWS consistent weighted samples of every document.
 2. Documents with the same word sequence fold into the smallest id; the rest works on distinct texts.
-3. Texts that agree on a band share a bucket.  A bucket of more than BLOCK texts is a grid of block pairs, so no
-   task holds more than 2 * BLOCK texts and all pairs of a bucket stand in one task.
-4. In a task, pairs whose samples agree on at least AGREE of K places and whose total weights allow the threshold
-   are verified on the whole texts, likeliest first, each in the first band that it shares; pairs that earlier
+3. Texts that agree on a band share a bucket.  A bucket is a grid of block pairs of about BLOCK texts and SHINGLES shingles
+   a block at most, so a task's memory is bounded however large the bucket and however long the texts; all
+   pairs of a bucket stand in one task.
+4. Tasks over the samples alone find candidates: pairs that agree on at least AGREE of K places and whose
+   total weights allow the threshold, each in the first band that it shares.  Only texts of candidates travel on.
+5. In a task, candidates are verified on the whole texts, likeliest first; pairs that earlier
    links have joined already need no test.  Only links that join components leave the task.
-5. Links give components.
+6. Links give components.  Hot buckets, texts and nodes go through shared.skew_join.
 A pair at the threshold shares a band with probability 0.999 and agrees on AGREE places with 0.9999.
 
 Defined results: null, empty and blank texts link with nothing; a repeated id is one document (its texts' links
 are united); a null id gets a null component and is kept; equal texts always share a component; the component
-is its smallest id; an empty table gives no rows; other columns are not read.
+is its smallest id; an empty table gives no rows; other columns are not read.  drop_duplicates keeps, of a kept id, one row of each
+different text.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from caduspark.llm import shared, textnum
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, AGREE = 10, 3, 15
-#: Texts of one block of a bucket; larger buckets become a grid of block pairs.
-BLOCK = 1_024
+#: Texts and distinct shingles of one block of a bucket, about; larger buckets become a grid of block pairs.
+BLOCK, SHINGLES = 1_024, 1 << 19
 FEATURE_BITS = 18
 _SLICE = 1 << 12
 
@@ -119,9 +122,11 @@ def sample(of: np.ndarray, hashed: np.ndarray, weight: np.ndarray, texts: int, k
 
 
 def _signer(idf: np.ndarray):
+    """(id, tid, t) -> hashes, weight, distinct shingles, marks (a byte of each sample) and band keys of texts with words."""
+
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in textnum.chunks(batch, "t"):
+            for lo, hi, data, offsets in textnum.pieces(batch.column(2)):
                 of, hashed, counts, whole = shingles(data, offsets)
                 weight = counts * idf[feature(hashed)]
                 drawn = sample(of, hashed, weight, hi - lo, BANDS * ROWS)
@@ -129,19 +134,22 @@ def _signer(idf: np.ndarray):
                 for b in range(BANDS):
                     for r in range(ROWS):
                         bands[:, b] = textnum.mix(bands[:, b] + drawn[:, b * ROWS + r] + np.uint64(b + 1))
-                total = np.bincount(of, weight, hi - lo)
-                some = np.flatnonzero(total > 0)
+                total, size = np.bincount(of, weight, hi - lo), np.bincount(of, minlength=hi - lo)
+                some = np.flatnonzero(size > 0)
                 marks = (drawn >> np.uint64(56)).astype(np.uint8)
+                rows = pa.array(some + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(some + lo)),
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
                         pa.array(whole[0][some].view(np.int64)),
                         pa.array(whole[1][some].view(np.int64)),
                         pa.array(total[some]),
+                        pa.array(size[some]),
                         pa.array([m.tobytes() for m in marks[some]], pa.binary()),
                         textnum.lists(bands[some].ravel().view(np.int64), np.full(len(some), BANDS), pa.int64()),
                     ],
-                    names=["id", "h1", "h2", "weight", "marks", "keys"],
+                    names=["id", "tid", "h1", "h2", "weight", "size", "marks", "keys"],
                 )
 
     return run
@@ -160,126 +168,183 @@ def weighted_jaccard(a: tuple, b: tuple, rows: int) -> np.ndarray:
     return np.divide(shared_weight, total - shared_weight, out=np.zeros(rows), where=total > 0)
 
 
-class Bucket:
-    """Texts of one block pair of a bucket, and the links among them that join components."""
-
-    def __init__(self):
-        self.ids: list[int] = []
-        self.sides: list[int] = []
-        self.weights: list[float] = []
-        self.marks: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
-        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def links(self, band: int, two_sided: bool, threshold: float) -> list[tuple[int, int]]:
-        n = len(self.ids)
-        if n < 2:
-            return []
-        weight, marks, keys, side = np.array(self.weights), np.stack(self.marks), np.stack(self.keys), np.array(self.sides)
-        left, right, like = [], [], []
-        for at in range(0, n, 128):
-            to = min(at + 128, n)
+def candidates(weight: np.ndarray, marks: np.ndarray, keys: np.ndarray, side: np.ndarray | None, band: int, threshold: float):
+    """(i, j, places that agree) of the candidates of one block pair of a bucket of `band`, strip by strip; side None: one block."""
+    n = len(weight)
+    for at in range(0, n, 128):
+        to = min(at + 128, n)
+        if n <= 48:
+            agree = (marks[at:to, None] == marks[None]).sum(2)
+        else:
             agree = np.zeros((to - at, n), np.int16)
             for k in range(marks.shape[1]):
                 agree += marks[at:to, k, None] == marks[None, :, k]
-            ok = (agree >= AGREE) & (np.arange(n)[None] > np.arange(at, to)[:, None])
-            ok &= np.minimum(weight[at:to, None], weight[None]) >= threshold * np.maximum(weight[at:to, None], weight[None]) * (1 - 1e-9)
-            if two_sided:
-                ok &= side[at:to, None] != side[None]
-            for k in range(band):  # a pair belongs to the first band that it shares
-                ok &= keys[at:to, k, None] != keys[None, :, k]
-            i, j = np.nonzero(ok)
-            left.append(i + at)
-            right.append(j)
-            like.append(agree[i, j])
-        i, j, like = np.concatenate(left), np.concatenate(right), np.concatenate(like)
-        order = np.argsort(-like, kind="stable")  # likeliest first: later pairs are often joined already
-        i, j = i[order], j[order]
-        root, out = np.arange(n), []
-        while len(i):
-            near = weighted_jaccard(self.some(i[:256]), self.some(j[:256]), len(i[:256])) >= threshold - 1e-12
-            for x, y in zip(i[:256][near].tolist(), j[:256][near].tolist()):
-                if root[x] != root[y]:
-                    out.append((self.ids[x], self.ids[y]))
-                    root[root == root[y]] = root[x]
-            i, j = i[256:], j[256:]
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-        return out
+        ok = (agree >= AGREE) & (np.arange(n)[None] > np.arange(at, to)[:, None])
+        ok &= np.minimum(weight[at:to, None], weight[None]) >= threshold * np.maximum(weight[at:to, None], weight[None]) * (1 - 1e-9)
+        if side is not None:
+            ok &= side[at:to, None] != side[None]
+        for k in range(band):  # a pair belongs to the first band that it shares
+            ok &= keys[at:to, k, None] != keys[None, :, k]
+        i, j = np.nonzero(ok)
+        yield i + at, j, agree[i, j]
 
-    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, hash, weight) of the shingles of some texts."""
-        sets = [self.sets[k] for k in which.tolist()]
-        return np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]), np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
 
+HEAD = ("band", "key", "i", "j")
 
-def _linker(idf: np.ndarray, threshold: float):
-    """Links of the buckets of one task; rows come ordered by bucket and block pair."""
+
+def _groups(batches, columns: tuple[str, ...]):
+    """(head, rows) of the block pairs of a task: batches come ordered by HEAD, and a block pair's rows as one table of `columns`."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        heads = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in HEAD]
+        new = np.flatnonzero(np.any([h[1:] != h[:-1] for h in heads], axis=0)) + 1
+        rest = batch.select(list(columns))
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(batch)]):
+            head = tuple(int(h[lo]) for h in heads)
+            if head != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = head
+            held.append(rest.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _samples(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """weight, marks, keys, side of a block pair's rows."""
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(rows), BANDS * ROWS)
+    keys = np.asarray(rows.column("keys").combine_chunks().flatten()).reshape(len(rows), BANDS)
+    return np.asarray(rows.column("weight")), marks, keys, np.asarray(rows.column("side"))
+
+
+_ASKED = ("id", "tid", *HEAD, "side", "weight", "marks", "keys")
+
+
+def _asker(threshold: float):
+    """Rows of a block pair that have a candidate there."""
 
     def run(batches):
-        held, now = Bucket(), None
+        for (band, _, i, j), rows in _groups(batches, _ASKED):
+            if len(rows) < 2:
+                continue
+            weight, marks, keys, side = _samples(rows)
+            hit = np.zeros(len(rows), bool)
+            for x, y, _ in candidates(weight, marks, keys, side if i != j else None, band, threshold):
+                hit[x] = hit[y] = True
+            if hit.any():
+                yield from rows.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def links_of(ids: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray, like: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links among candidates (i, j) that join components; sets are the shingles (hash, weight) of each text."""
+
+    def some(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = [sets[k] for k in which.tolist()]
+        return np.repeat(np.arange(len(part)), [len(h) for h, _ in part]), np.concatenate([h for h, _ in part]), np.concatenate([w for _, w in part])
+
+    order = np.argsort(-like, kind="stable")  # likeliest first: later pairs are often joined already
+    i, j = i[order], j[order]
+    root, out = np.arange(len(ids)), []
+    while len(i):
+        near = weighted_jaccard(some(i[:256]), some(j[:256]), len(i[:256])) >= threshold - 1e-12
+        for x, y in zip(i[:256][near].tolist(), j[:256][near].tolist()):
+            if root[x] != root[y]:
+                out.append((int(ids[x]), int(ids[y])))
+                root[root == root[y]] = root[x]
+        i, j = i[256:], j[256:]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return out
+
+
+def _linker(idf: np.ndarray, threshold: float):
+    """Links of the block pairs of one task; shingles are held instead of texts."""
+
+    def shingled(batches):
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            heads = list(zip(*(get(c).to_pylist() for c in ("band", "key", "i", "j"))))
-            ids, weight, side = get("id").to_pylist(), get("weight").to_pylist(), get("side").to_pylist()
-            marks = np.frombuffer(b"".join(get("marks").to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS)
-            keys = np.asarray(get("keys").flatten()).reshape(len(batch), BANDS)
-            for lo, hi, data, offsets in textnum.pieces(get("t")):
+            hashes, weights, sizes = [], [], []
+            for lo, hi, data, offsets in textnum.pieces(batch.column(batch.schema.get_field_index("t"))):
                 of, hashed, counts, _ = shingles(data, offsets)
-                w = counts * idf[feature(hashed)]
-                cuts = np.searchsorted(of, np.arange(hi - lo + 1))
-                for r in range(lo, hi):
-                    if heads[r] != now:
-                        if now is not None:
-                            out += held.links(now[0], now[2] != now[3], threshold)
-                        held, now = Bucket(), heads[r]
-                    a, b = cuts[r - lo], cuts[r - lo + 1]
-                    held.ids.append(ids[r])
-                    held.sides.append(side[r])
-                    held.weights.append(weight[r])
-                    held.marks.append(marks[r])
-                    held.keys.append(keys[r])
-                    held.sets.append((hashed[a:b].copy(), w[a:b].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = held.links(now[0], now[2] != now[3], threshold) if now is not None else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                hashes.append(hashed.view(np.int64))
+                weights.append(counts * idf[feature(hashed)])
+                sizes.append(np.bincount(of, minlength=hi - lo))
+            if sizes:
+                sizes = np.concatenate(sizes)
+                lists = [textnum.lists(np.concatenate(x), sizes, kind) for x, kind in ((hashes, pa.int64()), (weights, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in _ASKED), *lists], names=[*_ASKED, "hashes", "weights"])
+
+    def run(batches):
+        for (band, _, a, b), rows in _groups(shingled(batches), (*_ASKED, "hashes", "weights")):
+            twice = np.unique(np.stack([np.asarray(rows.column("id")), np.asarray(rows.column("tid"))]), axis=1, return_index=True)[1]
+            rows = rows.take(pa.array(np.sort(twice)))  # equal rows of the table stand here once
+            if len(rows) < 2:
+                continue
+            weight, marks, keys, side = _samples(rows)
+            found = list(candidates(weight, marks, keys, side if a != b else None, band, threshold))
+            i, j, like = (np.concatenate([f[k] for f in found]) for k in range(3))
+            lists = [rows.column(c).combine_chunks() for c in ("hashes", "weights")]
+            cuts = np.asarray(lists[0].offsets)
+            hashed, w = np.asarray(lists[0].values).view(np.uint64), np.asarray(lists[1].values)
+            sets = [(hashed[x:y], w[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            out = links_of(np.asarray(rows.column("id")), sets, i, j, like, threshold)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, component_id, kept) of every document; kept is the smallest id of each component."""
-    shared.tune(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
+    spark = docs.sparkSession
+    shared.tune(spark)
+    raw = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.coalesce(raw, F.lit(""))).alias("tid"), raw.alias("t"))
     df = document_frequencies(docs, text)
     idf = 1 + np.log((1 + docs.count()) / (1 + df))
-    signed = rows.where("id is not null").mapInArrow(_signer(idf), "id long, h1 long, h2 long, weight double, marks binary, keys array<long>")
+    sampled = "weight double, size long, marks binary, keys array<long>"
+    signed = rows.where("id is not null").mapInArrow(_signer(idf), f"id long, tid long, h1 long, h2 long, {sampled}")
     signed = shared.write_table(signed, "signed")
-    first = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    signed = shared.write_table(signed.join(first, ["h1", "h2"]).drop("h1", "h2"), "folded")
-    copies = signed.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    signed = signed.where("id = rep").drop("rep")
-    banded = signed.select("id", F.posexplode("keys").alias("band", "key"))
-    many = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = banded.join(many, ["band", "key"]).select("id", "band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    folded = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "tid", "weight", "size", "marks", "keys")).alias("rep"), F.count("*").alias("n"))
+    folded = shared.write_table(folded.select("h1", "h2", "n", "rep.*"), "folded")
+    reps = folded.where("n > 1").select("h1", "h2", "n", F.col("id").alias("rep"))
+    copies = shared.skew_join(signed.select("id", "h1", "h2"), reps, ["h1", "h2"], signed.count())
+    copies = copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+
+    banded = folded.select("id", "tid", "size", F.posexplode("keys").alias("band", "key"))
+    many = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    many = shared.write_table(many, "many")
+    met = shared.skew_join(banded.drop("size"), many, ["band", "key"], BANDS * folded.count())
+    met = met.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / SHINGLES)).cast("int"))
+    met = met.withColumn("side", F.pmod(F.xxhash64("id", "tid"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("id", "band", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    met = shared.write_table(met, "buckets")
-    whole = rows.join(met.select("id").distinct().hint("merge"), "id").join(signed.hint("merge"), "id")
-    order = ("band", "key", "i", "j")
-    tasks = whole.join(met.hint("merge"), "id").repartition(*order).sortWithinPartitions(*order)
-    links = shared.write_table(tasks.mapInArrow(_linker(idf, threshold), "a long, b long").distinct(), "links").unionByName(copies)
-    parts = shared.connected_components(links).withColumnRenamed("node", "id")
-    out = rows.select("id").distinct().join(parts, "id", "left")
-    found = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), found.alias("component_id"), F.coalesce(found == F.col("id"), F.lit(True)).alias("kept"))
+    met = met.select("id", "tid", "band", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    met = met.join(folded.select("id", "tid", "weight", "marks", "keys").hint("merge"), ["id", "tid"])
+    met = met.select(*_ASKED).repartition(*HEAD).sortWithinPartitions(*HEAD)
+    asked = met.mapInArrow(_asker(threshold), "id long, tid long, band int, key long, i int, j int, side int, weight double, marks binary, keys array<long>")
+    asked = shared.write_table(asked, "asked")
+    shared.free_shuffles(spark)
+
+    tasks = rows.join(asked.hint("merge"), ["id", "tid"]).repartition(*HEAD).sortWithinPartitions(*HEAD)
+    links = shared.write_table(tasks.mapInArrow(_linker(idf, threshold), "a long, b long").distinct(), "links")
+    shared.free_shuffles(spark)
+    found = shared.connected_components(links.unionByName(copies))
+    for table in (signed, folded, many, asked, links):
+        shared.drop_table(table)
+    out = rows.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left")
+    component = F.coalesce("component", "id")
+    out = out.select(F.col("id").alias(key), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return shared.reads(out, *found._reads)
 
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the smallest id, a repeated id once; null ids stay."""
-    kept = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("__kept"))
-    named = docs.where(F.col(f"`{key}`").isNotNull())
-    out = named.join(kept, named[key].cast("long") == kept["__kept"]).drop("__kept").dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    """docs with one document of each component, the smallest id; of its rows, one of each different text; null ids stay."""
+    marked = near_duplicates(docs, key, text)
+    kept = marked.where("kept").select(F.col(key).alias("__kept"))
+    named = docs.where(F.col(f"`{key}`").isNotNull()).withColumn("__tid", F.xxhash64(F.col(f"`{text}`")))
+    out = named.join(kept, named[key].cast("long") == kept["__kept"]).dropDuplicates([key, "__tid"]).drop("__kept", "__tid")
+    return shared.reads(out.unionByName(docs.where(F.col(f"`{key}`").isNull())), *marked._reads)
