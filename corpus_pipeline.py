@@ -14,8 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caduspark.llm import minhash_neardup, packing, quality, substring_dedup, toxicity
-from caduspark.llm.shared import write_table
+from caduspark.llm import minhash_neardup, packing, quality, shared, substring_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.7
@@ -44,11 +43,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that also stand elsewhere; untouched documents keep their text as it was."""
-    out = substring_dedup.remove_repeats(docs)
+    found = substring_dedup.remove_repeats(docs)
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = {c: F.col(f"`{at}`").alias(c) for c, at in zip(docs.columns, found.columns)}  # a clashing column stands there under another name
+    out["text"] = text.alias("text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return shared.reads(found.select(*out.values()), *found._reads)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages, each written as Parquet and read again."""
+    """documents through all stages, each written as Parquet and read again; a stage's table goes when the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        written = shared.write_table(out, name)
+        shared.release(out)
+        shared.drop_table(docs)
+        docs = written
+    return shared.reads(STAGES[-1][1](spark, docs, sf_dir), docs)
