@@ -19,8 +19,8 @@ import pyarrow as pa
 from caduspark.llm import textnum
 
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Units kept in the cache of one Python worker.
-CACHE = 400_000
+#: Units kept in the cache of one Python worker (some 50 bytes each).
+CACHE = 1_000_000
 PIECE = 2 << 20
 
 
@@ -59,17 +59,26 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        """The cache: sorted unit hashes, the entry of each, and each entry's ids in one pool."""
+        self.keys, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.sizes, self.pool, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
 
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of sorted hashes; -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[place] == hashes, self.entries[place], -1)
+
     def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after another, ids of each)."""
         ids = [self.core.encode_ordinary(u.decode("utf-8", "replace")) for u in units]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
-    def _add(self, hashes: list[int], units: list[bytes]) -> None:
-        k, n = len(self.index), len(hashes)
+    def _add(self, hashes: np.ndarray, units: list[bytes]) -> np.ndarray:
+        """Entries of new units."""
+        k, n = len(self.keys), len(hashes)
         flat, sizes = self._ids(units)
         total = len(flat)
         while k + n > len(self.starts):
@@ -80,7 +89,11 @@ class Encoder:
         self.sizes[k : k + n] = sizes
         self.starts[k : k + n] = self.filled + np.cumsum(sizes) - sizes
         self.filled += total
-        self.index.update(zip(hashes, range(k, k + n)))
+        entries = np.arange(k, k + n)
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")  # merges two sorted runs
+        self.keys, self.entries = keys[order], np.concatenate([self.entries, entries])[order]
+        return entries
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, textnum.Words]:
         words = textnum.Words(data, offsets)
@@ -123,13 +136,13 @@ class Encoder:
         """Ids of units that cover the texts in order: distinct units are encoded once."""
         hashes = words.of_bytes(starts, ends)
         known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) + len(known) > CACHE:
+        if len(self.keys) + len(known) > CACHE:
             self._clear()
-        listed = known.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.index]
-        if new:
-            self._add([listed[i] for i in new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-        place = np.fromiter(map(self.index.__getitem__, listed), np.int64, len(listed))[inverse]
+        entry = self._known(known)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = self._add(known[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        place = entry[inverse]
         sizes = self.sizes[place].astype(np.int64)
         total = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[place] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]

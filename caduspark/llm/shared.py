@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; bounds the worker's memory whatever the text length.
@@ -77,6 +77,11 @@ def release(result: DataFrame) -> None:
         drop_table(table)
 
 
+def with_added(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df plus column `name`; a column of df with that name goes on as <name>_in."""
+    return df.select(*[F.col(f"`{c}`").alias(f"{c}_in") if c.lower() == name.lower() else F.col(f"`{c}`") for c in df.columns], value.alias(name))
+
+
 def skew_join(rows: DataFrame, facts: DataFrame, on: list[str], total: int) -> DataFrame:
     """Inner join of rows with facts, which holds one row a key with `n`, how many of the `total` rows have that key.
 
