@@ -5,7 +5,7 @@ projections (ties in random order) and cut into blocks; every block is compared
 next one, in double precision, a block pair to a task.  Tasks return one edge a vector (its local root), never
 pairs; all passes are united by connected components.
 
-The number of passes follows from the largest label, so that a pair at the threshold agrees in the first bits
+The number of passes follows from the largest label, by one rule at every size and without a cap, so that a pair at the threshold agrees in the first bits
 (a cell) of some pass with probability 1 - MISS at least.  A cell of at most a block lies within two neighbouring blocks.
 In a larger one (a group of near copies, or vectors that lean to one side), every vector outside
 the cell's commonest component is compared with the whole cell, so each pair that agrees is compared or
@@ -38,13 +38,11 @@ TILE = 4
 
 def cell_bits(largest: int, block: int) -> int:
     """Leading bits of a key that make a cell: about half a block of the largest label, if it is spread evenly."""
-    return math.ceil(math.log2(largest / block)) + 1
+    return max(1, math.ceil(math.log2(max(largest, 1) / block)) + 1)
 
 
 def passes_for(largest: int, threshold: float, block: int) -> int:
-    """Passes after which a pair at the threshold has agreed in a whole cell with probability 1 - MISS."""
-    if largest <= 2 * block:
-        return 1
+    """Passes after which a pair at the threshold has agreed in a whole cell with probability 1 - MISS; one rule for every size."""
     same = 1 - math.acos(threshold) / math.pi
     bits = cell_bits(largest, block)
     return max(2, math.ceil(math.log(MISS) / math.log1p(-(same**bits))))
@@ -176,8 +174,8 @@ def _count_links(reps: DataFrame, components: DataFrame, threshold: float, block
     """(rep, n): links with other vectors, over all pairs of each component."""
     sizes = components.groupBy("component").agg(F.count("*").alias("m"))
     total = components.count()
-    large = sizes.where(F.col("m") > block)  # one component a block of rows at most
-    rows = components.join(F.broadcast(large), "component", "left").select(F.col("node").alias("rep"), "component", "m")
+    large = sizes.where(F.col("m") > block)
+    rows = components.join(large, "component", "left").select(F.col("node").alias("rep"), "component", "m")
     tiles = F.coalesce(_tiles(F.col("m"), TILE * block), F.lit(1))
     shared_by = F.pmod(F.xxhash64("component"), F.lit(max(1, math.ceil(total / block))))
     rows = rows.select("rep", "component", F.col("m").isNotNull().alias("large"), F.when(F.col("m").isNull(), shared_by).otherwise(F.col("component")).alias("group"), tiles.alias("tiles"), _tile(tiles).alias("own"))
@@ -201,7 +199,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     largest = reps.groupBy("label", "dim").count().agg(F.max("count")).collect()[0][0] or 0
     passes = passes_for(largest, threshold, block)
     keys = reps.select("rep", "label", "dim", "vector").mapInArrow(_signs(passes, seed), f"rep long, label {kind}, dim int, keys array<long>")
-    spare = max(0, BITS - cell_bits(largest, block)) if passes > 1 else 0
+    spare = max(0, BITS - cell_bits(largest, block))
     base = shared.write_table(reps.join(_ranked(keys, block, spare), "rep"), "blocks")
     columns = ("label", "dim", "turn", "far", "block", "tile")
 
@@ -219,25 +217,28 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     guest = blocks.where("block >= 1").withColumn("block", F.col("block") - 1).withColumn("far", F.lit(1)).withColumn("guest", F.lit(True))
     edges = solve(alone.unionByName(home).unionByName(guest))
     components = shared.connected_components(edges)
-    if passes > 1:
-        cell = ["label", "dim", "turn", "cell"]
-        members = turns(base.select("rep", "label", "dim", "blocks", "cells")).select("rep", *cell)
-        large = shared.write_table(members.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > block), "cells")
-        if large.limit(1).count():
-            of = base.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            large = F.broadcast(large)  # one cell a block of rows and pass at most
-            counted = turns(of.drop("vector")).join(large, cell).groupBy(*cell, "size", "component").agg(F.count("*").alias("n"))
-            top = counted.groupBy(*cell, "size").agg(F.max(F.struct("n", "component")).alias("top"))
-            top = top.select(*cell, "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")).where("others > 0")
-            top = shared.write_table(top, "cells")
-            side = TILE * block
-            near = turns(of).join(F.broadcast(top), cell).withColumn("block", F.col("cell")).withColumn("far", F.lit(1))
-            wide, high = _tiles(F.col("size"), side), _tiles(F.col("others"), side)
-            each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-            home = near.where(F.col("component") != F.col("most")).withColumn("with", each(wide)).withColumn("tile", _tile(high) * wide + F.col("with"))
-            guest = near.withColumn("with", each(high)).withColumn("tile", F.col("with") * wide + _tile(wide))
-            more = solve(home.withColumn("guest", F.lit(False)).unionByName(guest.withColumn("guest", F.lit(True))))
-            components = shared.connected_components(edges.unionByName(more))
+    cell = ["label", "dim", "turn", "cell"]
+    members = turns(base.select("rep", "label", "dim", "blocks", "cells")).select("rep", *cell)
+    large = shared.write_table(members.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > block), "cells")
+    if large.limit(1).count():
+        of = base.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        counted = turns(of.drop("vector")).join(large, cell).groupBy(*cell, "size", "component").agg(F.count("*").alias("n"))
+        top = counted.groupBy(*cell, "size").agg(F.max(F.struct("n", "component")).alias("top"))
+        top = top.select(*cell, "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")).where("others > 0")
+        top = shared.write_table(top, "cells")
+        side = TILE * block
+        near = turns(of).join(top, cell).withColumn("block", F.col("cell")).withColumn("far", F.lit(1))
+        wide, high = _tiles(F.col("size"), side), _tiles(F.col("others"), side)
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        home = near.where(F.col("component") != F.col("most")).withColumn("with", each(wide)).withColumn("tile", _tile(high) * wide + F.col("with"))
+        guest = near.withColumn("with", each(high)).withColumn("tile", F.col("with") * wide + _tile(wide))
+        more = solve(home.withColumn("guest", F.lit(False)).unionByName(guest.withColumn("guest", F.lit(True))))
+        shared.release(components)
+        components = shared.connected_components(edges.unionByName(more))
+        shared.drop_table(more)
+        shared.drop_table(top)
+    for table in (base, edges, large):
+        shared.drop_table(table)
     counts = _count_links(reps, components, threshold, block)
     of_rep = (
         reps.join(counts, "rep", "left")
@@ -245,9 +246,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         .select("label", "vector", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
     out = rows.join(of_rep, (rows["v.label"] == of_rep["label"]) & (rows["v.vector"] == of_rep["vector"]) & rows["id"].isNotNull(), "left")
-    return out.select(
+    out = out.select(
         F.col("id").alias(key),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("c", "id").alias("component_id"),
         (F.coalesce("c", "id") == F.col("id")).alias("kept"),
     )
+    return shared.reads(out, rows, reps, *components._reads)
