@@ -8,7 +8,7 @@ off its share by more than one row's size.  Within a cell, rows are ordered by t
 texts with equal metadata stand side by side.
 
 Ranks and byte offsets over all rows come from three levels of sums, none of which sees an unbounded
-group: the curve index is refined with bits of the text's and the key's hash into cells; windows run
+group: the texts are read once, into a narrow table of metadata; the curve index is refined with bits of the text's and the key's hash into cells; windows run
 within a cell; sums per cell are accumulated within blocks of cells, and the sums of at most
 2**12 blocks in one small window.  Texts never enter a shuffle, only their size and hashes.
 
@@ -119,6 +119,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[
         F.xxhash64(raw).alias("__text"),
         *[value_of(docs, d).alias(f"__d{i}") for i, d in enumerate((*dims, key))],
     ).withColumn(f"__d{len(dims) + 1}", F.col("size").cast("double"))
+    rows = shared.write_table(rows, "metadata")  # the texts are read once
     n = len(dims) + 2
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     texts = [f"__d{i}" for i in range(n) if rows.schema[f"__d{i}"].dataType.simpleString() == "string"]
@@ -136,7 +137,10 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[
     fine = F.shiftleft(F.col("curve"), TEXT_BITS + KEY_BITS)
     fine = fine + F.shiftleft(F.pmod(F.col("__text"), F.lit(1 << TEXT_BITS)).cast("long"), KEY_BITS) + F.pmod(F.xxhash64("__key"), F.lit(1 << KEY_BITS)).cast("long")
     block_bits = max(0, bits * n + TEXT_BITS + KEY_BITS - 12)
+    metadata = rows
     rows = rows.withColumn("curve", curve).withColumn("cell", fine).select("__key", "size", "text_crc32", "__text", "curve", "cell")
+    rows = shared.write_table(rows, "curve")  # the curve is computed once
+    shared.drop_table(metadata)
     cells = rows.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("c")).withColumn("block", F.shiftright("cell", block_bits))
     blocks = cells.groupBy("block").agg(F.sum("b").alias("bb"), F.sum("c").alias("bc"))
     over = Window.orderBy("block")  # at most 2**12 blocks
@@ -157,7 +161,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[
     )
     placed = ranked.withColumn("shard", F.least(F.floor(F.col("middle") * shards / F.lit(float(total))).cast("int"), F.lit(shards - 1)))
     starts = placed.groupBy("shard").agg(F.min("rank").alias("first"))  # as many rows as shards
-    return placed.join(F.broadcast(starts), "shard").select(
+    out = placed.join(F.broadcast(starts), "shard").select(
         F.col("__key").alias(key),
         "size",
         "text_crc32",
@@ -167,3 +171,4 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: tuple[
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+    return shared.reads(out, rows)
