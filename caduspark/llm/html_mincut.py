@@ -415,4 +415,4 @@ def extract_text(pages: DataFrame, html: str = "html", name: str = "main_text")
     def run(column: pa.Array) -> pa.Array:
         return pa.array([extract(x.as_py(), weights) for x in column], pa.string())
 
-    return pages.withColumn(name, run(F.col(f"`{html}`")))
+    return shared.with_added(pages, name, run(F.col(f"`{html}`")))

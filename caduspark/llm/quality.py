@@ -9,7 +9,7 @@ passage of every whole text.
 
 Defined results: null, empty and blank texts are one passage of zeros and get its score; without labels, or with
 one class only, every score is the smoothed share of label 1.  Rows never influence one another; ties
-and repeated rows score alike; other columns pass through.
+and repeated rows score alike; other columns pass through, one with the added name as <name>_in.
 """
 
 from __future__ import annotations
@@ -182,4 +182,4 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Attention, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score of every whole text in column `name`."""
     shared.tune(docs.sparkSession)
-    return docs.withColumn(name, scorer(model)(F.col(f"`{text}`")))
+    return shared.with_added(docs, name, scorer(model)(F.col(f"`{text}`")))

@@ -8,7 +8,7 @@ sample (`limit` documents, see labels.sample); scoring reads every whole text.
 
 Defined results: null, empty and blank texts score sigmoid(w0); without labels, or with one class only, every
 score is the smoothed share of label 1.  Rows never influence one another, so ties and repeated rows score
-alike; other columns pass through.
+alike; other columns pass through, one with the added name as <name>_in.
 """
 
 from __future__ import annotations
@@ -147,4 +147,4 @@ def scorer(model) -> Callable:
 def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score of every whole text in column `name`."""
     shared.tune(docs.sparkSession)
-    return docs.withColumn(name, scorer(model)(F.col(f"`{text}`")))
+    return shared.with_added(docs, name, scorer(model)(F.col(f"`{text}`")))
