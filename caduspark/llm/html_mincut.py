@@ -7,12 +7,17 @@ parent are joined by smoothness edges that weaken with their distance in the tre
 maximum flow, labels all blocks of a page at once.  Blocks whose own cost outweighs all their edges are
 settled first, which leaves the cut the same and the flow small.
 
+Words of classes, ids, roles and tag names hint at what a block is, with these limits: none count on html and body;
+words of state ("has-sidebar", "menu-open") say nothing about an element; a word of place counts less than a word of content
+beside it ("page-content-bottom"); classes, ids and forms around the page's main container (main, or its longest
+article) say nothing about what is in it, but for those of comments.  Inline adverts leave the text of their block.
+
 The classifier is trained here, on pages that a seeded generator writes with known labels; no page of
 the input is used, so results do not depend on the rest of the table.
 
 Defined results: null, empty and tagless-blank html give an empty text; html without tags is one block; unclosed
 comments, scripts and tags run to the end of the page; repeated rows give equal results; other columns
-pass through.  Character references are decoded, white space (Unicode) inside a block becomes one space,
+pass through, one with the added name as <name>_in.  Work is linear in the page but for the flow, however deep the nesting.  Character references are decoded, white space (Unicode) inside a block becomes one space,
 blocks are trimmed and joined by two newlines in page order.
 """
 
@@ -22,7 +27,7 @@ import html as entities
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -35,11 +40,11 @@ from caduspark.llm import shared
 # Fixed values of HTML: block-level elements, elements without content, raw-text elements.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section select summary "
     "table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math".split())
+RAW = frozenset("script style template svg iframe".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "body": {"head"}}
 ENDS_P = BLOCK - {"body", "html", "head", "button", "label", "option", "optgroup", "select", "textarea"}
 # Words in tags, classes, ids and roles that speak for boilerplate or for content.
@@ -59,6 +64,9 @@ for _group, _words in HINTS.items():
     for _word in _words:
         _HINT_OF.setdefault(_word, []).append(_group)
 GROUPS = list(HINTS)
+#: Words that make a class name speak of a state, first or last in it, and words of place.
+STATES = frozenset("no not has have with without is was hide hidden show shown open opened close closed active on off enabled disabled logged in out visible collapsed expanded".split())
+PLACES = frozenset("bottom side top more header".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -66,22 +74,36 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @lru_cache(4096)
-def hints(tag: str, attributes: str) -> frozenset[str]:
-    found = set(_HINT_OF.get(tag, ()))
+def hints(attributes: str) -> frozenset[str]:
+    """Groups that the classes, ids and roles of a tag hint at."""
+    found = set()
     for match in _NAMES.finditer(attributes):
-        value = _CAMEL.sub(" ", match[1] or match[2] or match[3] or "")
-        for word in _PARTS.findall(value.lower()):
-            found.update(_HINT_OF.get(word, ()))
+        for name in (match[1] or match[2] or match[3] or "").split():
+            words = _PARTS.findall(_CAMEL.sub(" ", name).lower())
+            if len(words) > 1 and (words[0] in STATES or words[-1] in STATES):
+                continue
+            if any("content" in _HINT_OF.get(w, ()) for w in words):
+                words = [w for w in words if w not in PLACES]
+            for word in words:
+                found.update(_HINT_OF.get(word, ()))
     return frozenset(found)
 
 
+_TAG_HINTS = {tag: frozenset(_HINT_OF.get(tag, ())) for tag in BLOCK} | {"html": frozenset(), "body": frozenset(), "noscript": frozenset(("notice",))}
+_PARTS_PARAGRAPHS = frozenset(("td", "li", "div", "article", "section", "body", "blockquote"))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "depth", "hints", "own")
+    """An open or closed block-level element: named are the hints of its names, from where the text before it ended and after it."""
 
-    def __init__(self, tag: str, parent: Node | None, own: frozenset[str]):
-        self.tag, self.parent, self.own = tag, parent, own
+    __slots__ = ("tag", "parent", "depth", "named", "hints", "start", "end", "in_head", "paragraph")
+
+    def __init__(self, tag: str, parent: Node | None, named: frozenset[str], start: int):
+        self.tag, self.parent, self.named, self.start, self.end = tag, parent, named, start, -1
         self.depth = parent.depth + 1 if parent else 0
-        self.hints = (parent.hints | own) if parent else own
+        self.hints: frozenset[str] | None = None
+        self.in_head = tag == "head" or (parent is not None and parent.in_head)
+        self.paragraph = self if tag == "p" else None if tag in _PARTS_PARAGRAPHS or parent is None else parent.paragraph  # the open p that a block would close
 
 
 class Block:
@@ -94,25 +116,47 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, without scripts, styles, comments and the head."""
     out: list[Block] = []
-    root = node = Node("", None, frozenset())
+    root = node = Node("", None, frozenset(), 0)
+    root.hints = frozenset()
+    nodes: list[Node] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = total = 0
+    advert: list[str] = []  # inline tags open since an inline advert began
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text and not _under(node, "head") and node.tag != "title":
+            if text and not node.in_head and node.tag != "title":
                 out.append(Block(text, node, min(linked, len(text))))
+                total += len(text)
             parts.clear()
         linked = 0
+        advert.clear()
+
+    def leave(top: Node) -> Node:
+        """Close the open elements up to and with top."""
+        up = node
+        while True:
+            up.end = total
+            opened[up.tag] -= 1
+            if up is top:
+                return up.parent
+            up = up.parent
+
+    def nearest(tag: str) -> Node:
+        up = node
+        while up.tag != tag:
+            up = up.parent
+        return up
 
     at, n = 0, len(page)
     while at < n:
         less = page.find("<", at)
         if less < 0:
             less = n
-        if less > at:
+        if less > at and not advert:
             parts.append(page[at:less])
             if in_link:
                 linked += len(page[at:less].strip())
@@ -131,7 +175,8 @@ def blocks_of(page: str) -> list[Block]:
             rest = page[less + 1 : less + 2]
             if (rest.isalpha() or rest == "/") and page.find(">", less) < 0 and page.find("<", less + 1) < 0:
                 break  # a tag cut off by the end of the page
-            parts.append("<")
+            if not advert:
+                parts.append("<")
             at = less + 1
             continue
         close, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
@@ -141,45 +186,63 @@ def blocks_of(page: str) -> list[Block]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag == "br":
-            parts.append(" ")
-        elif tag == "a":
-            in_link = 0 if close else 1
-        elif tag in BLOCK:
+        if tag in BLOCK:
             flush()
             in_link = 0
             if close:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    node = up.parent
+                if opened[tag] > 0:
+                    node = leave(nearest(tag))
             else:
-                if tag in ENDS_P and _under(node, "p"):
-                    up = node
-                    while up.tag != "p":
-                        up = up.parent
-                    node = up.parent
+                if tag in ENDS_P and node.paragraph:
+                    node = leave(node.paragraph)
                 if node.tag in CLOSES.get(tag, ()):
-                    node = node.parent
-                if tag not in VOID and not (tag in ("html", "body") and _under(node, tag)):
-                    node = Node(tag, node, hints(tag, attributes))
-        elif not close and tag not in VOID and attributes:
-            own = hints("", attributes)
-            if own:
-                parts.append("")
+                    node = leave(node)
+                if tag not in VOID and not (tag in ("html", "body") and opened[tag] > 0):
+                    node = Node(tag, node, frozenset() if tag in ("html", "body") else hints(attributes), total)
+                    opened[tag] += 1
+                    nodes.append(node)
+        elif tag == "br":
+            parts.append(" ")
+        elif advert:
+            if tag in VOID:
+                continue
+            if not close:
+                advert.append(tag)
+            elif tag in advert:
+                while advert.pop() != tag:
+                    pass
+        else:
+            if tag == "a":
+                in_link = 0 if close else 1
+            if not close and tag not in VOID and attributes and "advert" in hints(attributes):
+                advert.append(tag)
     flush()
+    settle(nodes, total)
     return out
 
 
-def _under(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        if tag == "p" and node.tag in ("td", "li", "div", "article", "section", "body", "blockquote"):
-            return False
-        node = node.parent
-    return False
+def settle(nodes: list[Node], total: int) -> None:
+    """Hints of all nodes, parents first: their own and their parents', without those around the page's main container."""
+    for node in nodes:
+        if node.end < 0:
+            node.end = total
+    mains = [x for x in nodes if x.tag == "main"]
+    mains = mains or [x for x in nodes if x.tag == "article" and "comment" not in x.named]
+    kept = {"comment", "content"}
+    if not mains:  # the longest element named after content: only a form around it is no form
+        mains, kept = [x for x in nodes if x.named == {"content"}], set(GROUPS) - {"form"}
+    around: set[int] = set()
+    if mains:
+        up = max(mains, key=lambda x: x.end - x.start).parent
+        while up is not None:
+            around.add(id(up))
+            up = up.parent
+    for node in nodes:
+        named, tagged = node.named, _TAG_HINTS[node.tag]
+        if id(node) in around:
+            named &= kept
+            tagged -= {"form"}
+        node.hints = node.parent.hints | named | tagged
 
 
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -212,10 +275,13 @@ def features(block: Block, place: float) -> list[float]:
     return x
 
 
+FAR = 64
+
+
 def distance(a: Node, b: Node) -> int:
-    """Steps between two nodes of the tree."""
+    """Steps between two nodes of the tree, FAR at most."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
