@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import accumulate, pairwise
 
 from caduspark.functions import fixed
 from caduspark.functions.detect import normalize_text
@@ -10,16 +12,18 @@ from caduspark.functions.detect import normalize_text
 _COMPILED = [(kind, re.compile(pattern.replace("(?iu)", ""), re.I if pattern.startswith("(?iu)") else 0), c) for kind, pattern, c, _ in fixed.PATTERNS]
 
 
+def _union(first: tuple, second: tuple) -> tuple:
+    """One hit over both spans, with type, value, confidence and source of the surer, else longer, one."""
+    surer = max(first, second, key=lambda h: (h[4], h[2] - h[1], h is first))
+    return (surer[0], first[1], max(first[2], second[2]), *surer[3:])
+
+
 def merged(hits: list[tuple]) -> list[tuple]:
-    """(type, start, end, value, confidence, source) hits with overlaps folded into unions."""
-    out: list[tuple] = []
-    for h in sorted(hits, key=lambda x: (x[1], x[1] - x[2], -x[4])):
-        if out and h[1] < out[-1][2]:
-            last = out.pop()
-            best = h if (h[4], h[2] - h[1]) > (last[4], last[2] - last[1]) else last
-            h = (best[0], last[1], max(last[2], h[2]), *best[3:])
-        out.append(h)
-    return out
+    """(type, start, end, value, confidence, source) hits: each island of overlapping spans becomes one."""
+    hits = sorted(hits, key=lambda x: (x[1], x[1] - x[2], -x[4]))
+    reach = [0, *accumulate((h[2] for h in hits), max)]
+    cuts = [i for i, h in enumerate(hits) if h[1] >= reach[i]] + [len(hits)]
+    return [reduce(_union, hits[a:b]) for a, b in pairwise(cuts)] if hits else []
 
 
 def hits_of(text: str) -> list[tuple]:
@@ -38,8 +42,12 @@ def scanned(text: str) -> list[tuple]:
 
 
 def redact_text(text: str) -> str:
+    return redact_with(text, scanned(text))
+
+
+def redact_with(text: str, hits: list[tuple]) -> str:
     out, at = [], 0
-    for kind, start, end, *_ in scanned(text):
+    for kind, start, end, *_ in hits:
         out += [text[at:start], f"[REDACTED:{kind}]"]
         at = end
     return "".join([*out, text[at:]])

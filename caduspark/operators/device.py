@@ -15,7 +15,7 @@ def validate_dose(df: DataFrame, ranges: DataFrame, parameter: str, value: str,
     """ranges (parameter, min, max, place): the first range of a parameter holds, bounds included; a dimension table."""
     first = ranges.groupBy("parameter").agg(F.min(F.struct("place", "min", "max")).alias("r"))
     any_range = ranges.limit(1).agg((F.count("*") > 0).alias("__any"))
-    out = df.join(F.broadcast(first.select(F.col("parameter").alias("__p"), F.col("r.min").alias("__min"), F.col("r.max").alias("__max"))), df[parameter] == F.col("__p"), "left")
+    out = df.join(first.select(F.col("parameter").alias("__p"), F.col("r.min").alias("__min"), F.col("r.max").alias("__max")), df[parameter] == F.col("__p"), "left")
     out = out.join(F.broadcast(any_range), how="left") if strict else out.withColumn("__any", F.lit(False))
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -34,6 +34,27 @@ def rate_limit(changes: DataFrame, limit: int | None, session: str = "session_id
     return changes.withColumn("changes_in_hour", seen).withColumn("within_limit", F.lit(True) if limit is None else F.col("changes_in_hour") <= limit)
 
 
+def emergency_gate(events: DataFrame) -> DataFrame:
+    """events (session_id, ts_us, event_id, kind) plus `running`: whether no emergency_stop stands that a later reset has not cleared."""
+    before = Window.partitionBy("session_id").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    control = F.last(F.when(F.col("kind").isin("emergency_stop", "reset"), F.col("kind")), ignorenulls=True).over(before)
+    return events.withColumn("running", ~F.coalesce(control == "emergency_stop", F.lit(False)))
+
+
+def report_section(events: DataFrame, config: dict) -> DataFrame:
+    """A row a session: the device's configuration, changes since the last reset, and whether the stop stands; no rows where device mode is off.
+
+    events (session_id, ts_us, event_id, kind) with kinds device_change, emergency_stop and reset.
+    """
+    rows = emergency_gate(events) if config.get("enabled") else emergency_gate(events).limit(0)
+    order = F.struct("ts_us", "event_id")
+    reset = F.max(F.when(F.col("kind") == "reset", order)).over(Window.partitionBy("session_id"))
+    counted = (F.col("kind") == "device_change") & (F.col("__reset").isNull() | (order > F.col("__reset")))
+    out = rows.withColumn("__reset", reset).groupBy("session_id").agg(F.count_if(counted).alias("device_changes_this_session"), (~F.max_by("running", order)).alias("emergency_stop_engaged"))
+    shown = ("software_safety_class", "device_type", "intended_use", "manufacturer", "udi", "rate_limit_per_hour")
+    return out.select("session_id", *[F.lit(config.get(c)).cast("long" if c == "rate_limit_per_hour" else "string").alias(c) for c in shown], "device_changes_this_session", "emergency_stop_engaged")
+
+
 def class_violations(actions: DataFrame, safety_class: str) -> DataFrame:
     """Actions (name, tier) that a safety class forbids."""
     bad = {"A": F.col("tier") != "informational", "B": F.col("tier") == "interventional", "C": F.lit(False)}[safety_class]
@@ -53,7 +74,7 @@ def token_verdicts(tokens: DataFrame, known: DataFrame, now: int, max_age: int =
 
     A nonce counts as used by the first token of a session that is otherwise good.
     """
-    people = F.broadcast(known.select(F.col("clinician_id").alias("__c")).distinct())
+    people = known.select(F.col("clinician_id").alias("__c")).distinct()
     rows = tokens.join(people, tokens["clinician_id"] == F.col("__c"), "left")
     rows = rows.withColumn("__good", F.col("__c").isNotNull() & (F.lit(now) - F.col("issued_at") <= max_age))
     before = Window.partitionBy("session_id", "nonce").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +48,36 @@ def latency_quantiles(df: DataFrame, ts_us: str, value: str, minutes: int = 5) -
 def scan_cached(df: DataFrame, text: str, scan) -> DataFrame:
     """scan() once per distinct text, joined back: worth it where texts repeat."""
     return df.join(scan(df.select(text).distinct()), text, "left")
+
+
+@dataclass
+class Budget:
+    """Latencies, in milliseconds, of the driver's own calls against a limit of their p95."""
+
+    name: str
+    limit_ms: float
+    samples: list[float] = field(default_factory=list)
+
+    def p95(self) -> float:
+        """Element int(0.95 * (n - 1)) of the sorted samples; 0 without samples."""
+        return sorted(self.samples)[int(0.95 * (len(self.samples) - 1))] if self.samples else 0.0
+
+    def holds(self) -> bool:
+        return self.p95() <= self.limit_ms
+
+
+def timed(budget: Budget) -> Callable:
+    """Decorator: the time of each call goes into the budget, failed calls included."""
+
+    def wrap(call: Callable) -> Callable:
+        @functools.wraps(call)
+        def run(*args, **kwargs):
+            begun = time.perf_counter()
+            try:
+                return call(*args, **kwargs)
+            finally:
+                budget.samples.append((time.perf_counter() - begun) * 1e3)
+
+        return run
+
+    return wrap

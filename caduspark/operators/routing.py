@@ -19,11 +19,11 @@ def _channel(tier: Column, band: str, place: int, default: str) -> Column:
 def decide(df: DataFrame, actions: DataFrame, action: str, score: str, thresholds: dict[str, float] | None = None, unregistered: str = "advisory") -> DataFrame:
     """df plus action_taken, tier, reason, channel, reviewer_role.
 
-    actions (name, tier) is the registry of actions, a dimension of at most a few thousand names; an action it lacks is
+    actions (name, tier) is the registry of actions, broadcast where its size allows; an action it lacks is
     advisory, and escalates if `unregistered` is "escalate".
     """
     limits = fixed.THRESHOLDS | (thresholds or {})
-    known = F.broadcast(actions.select(F.col("name").alias("__name"), F.col("tier").alias("__tier")))
+    known = actions.select(F.col("name").alias("__name"), F.col("tier").alias("__tier"))
     out = df.join(known, df[action] == F.col("__name"), "left")
     tier = F.coalesce(F.col("__tier"), F.lit("advisory"))
     missing = F.col("__name").isNull() & F.lit(unregistered == "escalate")

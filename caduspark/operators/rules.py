@@ -10,6 +10,7 @@ import ast
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ def bundled() -> list[Rule]:
     return [Rule(i, title, predicate, severity, (ref,), framework) for framework, i, title, predicate, severity, ref in fixed.RULES]
 
 
+def load_rules(source: str | Path) -> list[Rule]:
+    """Rules of a YAML file or text: name (or the file's), rules with id, predicate, title, severity, references; bad shapes raise ValueError."""
+    import yaml
+
+    at = source if isinstance(source, Path) else Path(source) if "\n" not in source and source.endswith((".yaml", ".yml")) else None
+    raw = yaml.safe_load(source if at is None else at.read_text())
+    listed = (raw.get("rules") or []) if isinstance(raw, dict) else None
+    if not isinstance(listed, list):
+        raise ValueError("a ruleset must be a mapping with a list of rules")
+    if any(not isinstance(r, dict) or not {"id", "predicate"} <= set(r) for r in listed):
+        raise ValueError("a rule needs an id and a predicate")
+    name = str(raw.get("name") or (at.stem if at else ""))
+    return [Rule(str(r["id"]), str(r.get("title", "")), str(r["predicate"]), str(r.get("severity", "info")), tuple(map(str, r.get("references") or ())), name) for r in listed]
+
+
+def load_folder(folder: str | Path) -> list[Rule]:
+    """Rules of all YAML files of a folder, by file name."""
+    return [rule for path in sorted(Path(folder).glob("*.yaml")) for rule in load_rules(path)]
+
+
 def missing(name: str, kind: str) -> Column:
     """Null, zero, empty or "unknown"."""
     c = F.col(name)
@@ -205,6 +226,11 @@ def evidence(events: DataFrame, predicate: str) -> DataFrame:
         call = _kind("tool_call") & (F.col("risk_tier") == "interventional")
         any_call = F.max(F.when(call, 1)).over(Window.partitionBy("session_id")) == 1
         bad, good = F.lit(False), call | (_kind("escalation_triggered") & any_call)
+    elif predicate == "session_has_start_and_end":
+        first = lambda kind: F.min(F.when(_kind(kind), F.col("sequence_number"))).over(Window.partitionBy("session_id"))
+        rows = rows.withColumns({"__start": first("session_start"), "__end": first("session_end")})
+        mine = (_kind("session_start") & (F.col("sequence_number") == F.col("__start"))) | (_kind("session_end") & (F.col("sequence_number") == F.col("__end")))
+        bad, good = F.lit(False), mine & F.col("__start").isNotNull() & F.col("__end").isNotNull()
     elif predicate.startswith("every_event.has(") or predicate == "signature_present":
         name = "signature" if predicate == "signature_present" else predicate[len("every_event.has(") : -1]
         bad, good = missing(name, events.schema[name].dataType.simpleString()), F.lit(True)

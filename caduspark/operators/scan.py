@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from caduspark.functions import detect, fixed, redact
 
 
-def scan(df: DataFrame, text: str, mode: str = "REDACT", overrides: dict[str, str] | None = None, salt: str = "session", encoded: bool = True, hits: str = "hits", redacted: str = "redacted") -> DataFrame:
-    """df with the merged hits of a text column and the redacted text; a narrow projection, no shuffle."""
+def scan(df: DataFrame, text: str, mode: str = "REDACT", overrides: dict[str, str] | None = None, salt: str = "session", encoded: bool = True, hits: str = "hits", redacted: str = "redacted", detectors: tuple[detect.Detector, ...] = ()) -> DataFrame:
+    """df with the merged hits of a text column and the redacted text; a narrow projection, no shuffle.  detectors are one's own, beside the patterns."""
     t = F.col(f"`{text}`")
     out = df.withColumn("__normal", detect.normalize(F.when(detect.needs_normalizing(t), t)))
     parts = [detect.adversarial_hits(t, F.col("__normal"))]
     if encoded:
         parts.append(detect.base64_hits(t))
     parts.append(detect.hl7_hits(t))
+    parts += [F.coalesce(d(t), detect.no_hits()) for d in detectors]
     out = out.withColumn(hits, F.coalesce(detect.merge(F.concat(*parts)), detect.no_hits())).drop("__normal")
     return out.withColumn(redacted, redact.redact(t, F.col(hits), mode, overrides, salt))
 
@@ -68,75 +69,98 @@ def tags(scanned: DataFrame, key: str, origin: Column, hits: str = "hits") -> Da
     )
 
 
-def fhir_redact(resource: Column) -> Column:
-    """FHIR JSON (flat known fields): identifying top-level fields become [REDACTED:<field>]."""
-    kind = F.get_json_object(resource, "$.resourceType")
-    entries = F.from_json(resource, "map<string,string>")
-    listed = F.create_map(*[x for name, fields in fixed.FHIR_FIELDS.items() for x in (F.lit(name), F.array(*[F.lit(f) for f in fields]))])
-    mine = F.coalesce(F.try_element_at(listed, kind), F.array().cast("array<string>"))
-    return F.transform_values(
-        entries,
-        lambda k, v: F.when(F.array_contains(mine, k) & v.isNotNull(), F.concat(F.lit("[REDACTED:"), k, F.lit("]"))).otherwise(plain_scan(v)),
-    )
+def fhir_redact(df: DataFrame, column: str, name: str = "redacted") -> DataFrame:
+    """FHIR JSON: identifying top-level fields of the resource, and of resources in it, become [REDACTED:<field>]; all else keeps its type."""
+    return scan_json(df, column, name)
+
+
+_TOO_DEEP = "[REDACTED:MAX_DEPTH_EXCEEDED]"
 
 
-def _walk(value, depth: int, most: int, redact_text):
+def _walk(value, depth: int, most: int, redact_text, found: list):
+    """The redacted value; found gets (type, source, confidence) of every hit."""
     if value is None or isinstance(value, (bool, int, float)):
         return value
     if depth >= most:
-        return "[REDACTED:MAX_DEPTH_EXCEEDED]"
+        found.append(("SCAN_DEPTH_EXCEEDED", f"max_depth={most}", 1.0))
+        return _TOO_DEEP
     if isinstance(value, str):
-        return redact_text(value)
+        return redact_text(value, found)
     if isinstance(value, list):
-        return [_walk(v, depth + 1, most, redact_text) for v in value]
+        return [_walk(v, depth + 1, most, redact_text, found) for v in value]
     kind = value.get("resourceType")
     fields = fixed.FHIR_FIELDS.get(kind, []) if isinstance(kind, str) else []
     out: dict = {}
     for key, v in value.items():
-        name = redact_text(key)
+        name = redact_text(key, found)
         while name in out:
             name += "_"
-        out[name] = f"[REDACTED:{key}]" if key in fields and v is not None else _walk(v, depth + 1, most, redact_text)
+        if key in fields and v is not None:
+            found.append((f"FHIR_{key.upper()}", f"fhir:{kind}.{key}", 0.99))
+            out[name] = f"[REDACTED:{key}]"
+        else:
+            out[name] = _walk(v, depth + 1, most, redact_text, found)
     return out
 
 
-def scan_json(df: DataFrame, column: str, name: str = "redacted", most: int = 64) -> DataFrame:
-    """JSON of any shape, to a depth of `most`; keys are scanned as well.  Text that is no JSON becomes null."""
-    from caduspark.functions.pure import redact_text
+def scan_json(df: DataFrame, column: str, name: str = "redacted", most: int = 64, found: str | None = None) -> DataFrame:
+    """JSON of any shape, to a depth of `most`; keys are scanned as well.  Text that is no JSON is scanned as text.
+
+    found names a column for the hits, array<struct<phi_type, source, confidence>>; what lies too deep, or is nested
+    beyond what a JSON reader takes, gives a SCAN_DEPTH_EXCEEDED there.
+    """
+    from caduspark.functions.pure import redact_with, scanned
+
+    def redact_text(text: str, hits: list) -> str:
+        mine = scanned(text)
+        hits += [(h[0], h[5], h[4]) for h in mine]
+        return redact_with(text, mine)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<redacted:string,found:array<struct<phi_type:string,source:string,confidence:double>>>")
     def run(values: pa.Array) -> pa.Array:
+        names = ("phi_type", "source", "confidence")
         out = []
         for value in values.to_pylist():
+            hits: list = []
             try:
-                out.append(None if value is None else json.dumps(_walk(json.loads(value), 0, most, redact_text), ensure_ascii=False, separators=(",", ":")))
-            except (ValueError, RecursionError):
-                out.append(None)
-        return pa.array(out, pa.string())
+                text = None if value is None else json.dumps(_walk(json.loads(value), 0, most, redact_text, hits), ensure_ascii=False, separators=(",", ":"))
+            except RecursionError:
+                text, hits = json.dumps(_TOO_DEEP), [("SCAN_DEPTH_EXCEEDED", f"max_depth={most}", 1.0)]
+            except ValueError:
+                text = redact_text(value, hits)
+            out.append({"redacted": text, "found": [dict(zip(names, h)) for h in hits]})
+        kind = pa.struct([("redacted", pa.string()), ("found", pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.float64()))))))])
+        return pa.array(out, kind)
 
-    return df.withColumn(name, run(F.col(column)))
+    out = df.withColumn("__scanned", run(F.col(f"`{column}`"))).withColumn(name, F.col("__scanned.redacted"))
+    if found:
+        out = out.withColumn(found, F.col("__scanned.found"))
+    return out.drop("__scanned")
 
 
 def minimum_necessary(resource: Column, paths: list[str]) -> Column:
-    """JSON with only the listed dotted paths; paths that are missing are left out."""
+    """JSON with only the listed dotted paths; values keep their types, paths that are missing are left out."""
+    whole = F.try_parse_json(resource)
     tree: dict = {}
-    for path in sorted({p.lstrip(".") for p in paths}):
+    for path in sorted({p.lstrip(".") for p in paths}, key=lambda p: (p.count("."), p)):
+        *parents, last = path.split(".")
         at = tree
-        for part in path.split("."):
-            at = at.setdefault(part, {})
+        for part in parents:
+            at = at.setdefault(part, {}) if at is not None else None
+        if at is not None:
+            at[last] = None  # a whole value; paths into it add nothing
 
     def build(node: dict, prefix: str) -> Column:
         parts = []
-        for name, inner in node.items():
+        for name, inner in sorted(node.items()):
             where = f"{prefix}.{name}"
-            raw = F.get_json_object(resource, where)
-            if inner:
-                parts.append(F.when(raw.isNotNull(), F.concat(F.lit(f'"{name}":'), build(inner, where))))
+            raw = F.try_variant_get(whole, where, "variant")
+            key = F.lit(json.dumps(name, ensure_ascii=False) + ":")
+            if inner is None:
+                parts.append(F.when(raw.isNotNull(), F.concat(key, F.to_json(raw))))
             else:
-                nested = raw.rlike(r"^\s*[\[{]") | raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$") | raw.isin("true", "false")
-                shown = F.when(nested, raw).otherwise(F.to_json(F.array(raw)))
-                shown = F.when(nested, shown).otherwise(F.substring(shown, 2, F.length(shown) - 2))
-                parts.append(F.when(raw.isNotNull(), F.concat(F.lit(f'"{name}":'), shown)))
+                shown = build(inner, where)
+                parts.append(F.when(raw.isNotNull() & (shown != "{}"), F.concat(key, shown)))
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
     return build(tree, "$")

@@ -56,7 +56,7 @@ ASCII_TYPES = ["SSN", "EMAIL", "PHONE", "IP_ADDRESS", "URL", "DATE", "NPI", "DEA
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, views.NOTES)
+    return store.spread(view(spark, sf_dir, views.NOTES))
 
 
 # --- detection ------------------------------------------------------------------------------------------
@@ -76,27 +76,27 @@ def phi_spans_notes(spark, sf_dir):
 @query(f"SELECT phi_type, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({duck.spans(DOCS, 'doc_id', types=['EMAIL', 'PHONE', 'IP_ADDRESS', 'URL'])}) GROUP BY phi_type")
 def phi_hits_by_type(spark, sf_dir):
     """X1 on real documents, for the types whose patterns agree in both engines."""
-    rows = _spans(read(spark, sf_dir, "documents"), "doc_id", ["EMAIL", "PHONE", "IP_ADDRESS", "URL"])
+    rows = _spans(store.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["EMAIL", "PHONE", "IP_ADDRESS", "URL"])
     return rows.groupBy("phi_type").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_hits, min(start) AS first_start, max(stop) AS last_stop FROM ({duck.spans(DOCS, 'doc_id', types=['EMAIL', 'PHONE', 'IP_ADDRESS', 'URL'])}) GROUP BY doc_id")
 def phi_doc_summary(spark, sf_dir):
-    rows = _spans(read(spark, sf_dir, "documents"), "doc_id", ["EMAIL", "PHONE", "IP_ADDRESS", "URL"])
+    rows = _spans(store.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["EMAIL", "PHONE", "IP_ADDRESS", "URL"])
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop"))
 
 
 @query()
 def phi_hits_by_type_all(spark, sf_dir):
     """phi_hits_by_type for all ten types (no SQL: six patterns differ in DuckDB; tested against plain Python)."""
-    rows = _spans(read(spark, sf_dir, "documents"), "doc_id")
+    rows = _spans(store.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     return rows.groupBy("phi_type").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query()
 def phi_doc_summary_all(spark, sf_dir):
     """phi_doc_summary for all ten types (tested against plain Python)."""
-    rows = _spans(read(spark, sf_dir, "documents"), "doc_id")
+    rows = _spans(store.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop"))
 
 
@@ -218,7 +218,7 @@ def redact_overrides(spark, sf_dir):
 @query(duck.redacted(DOCS, "doc_id", "'[REDACTED:' || phi_type || ']'", types=["EMAIL", "PHONE", "IP_ADDRESS"]))
 def redact_documents(spark, sf_dir):
     """The whole scan over documents; other types do not occur there."""
-    return scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", encoded=False).select("doc_id", "redacted")
+    return scan.scan(store.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "text", encoded=False).select("doc_id", "redacted")
 
 
 @query(f"SELECT sha256(concat_ws('|', note_id, start, stop, phi_type)) AS tag_id, note_id, phi_type, 'regex' AS source, confidence, '[' || phi_type || ']' AS redacted_value, 'intake' AS origin_agent FROM ({duck.merged(NOTES, 'note_id')})")
@@ -234,7 +234,75 @@ _FHIR = """SELECT c_custkey, '{{"resourceType":"Patient","id":"p' || cast(c_cust
 @query("""SELECT c_custkey, '{"resourceType":"Patient","id":"p' || c_custkey || '","name":"[REDACTED:name]","birthDate":"[REDACTED:birthDate]","note":"call [REDACTED:PHONE]","active":"yes"}' AS redacted FROM customer""")
 def fhir_redact(spark, sf_dir):
     """Identifying fields of FHIR resources, and hits in the others."""
-    return view(spark, sf_dir, _FHIR).select("c_custkey", F.to_json(scan.fhir_redact(F.col("resource"))).alias("redacted"))
+    return scan.fhir_redact(view(spark, sf_dir, _FHIR), "resource").select("c_custkey", "redacted")
+
+
+_TYPED = """SELECT c_custkey, '{{"resourceType":"Patient","id":"00' || cast(c_custkey AS string) || '","active":true,"weight":' || cast(c_custkey % 90 AS string) || ',"tag":"true","name":[{{"family":"x"}}],"link":{{"mail":"c' || cast(c_custkey AS string) || '@example.com","list":[1,null,"[y"]}}}}' AS resource FROM {customer}"""
+
+
+@query("""SELECT c_custkey, '{"resourceType":"Patient","id":"00' || c_custkey || '","active":true,"weight":' || (c_custkey % 90) || ',"tag":"true","name":"[REDACTED:name]","link":{"mail":"[REDACTED:EMAIL]","list":[1,null,"[y"]}}' AS redacted FROM customer""")
+def fhir_redact_typed(spark, sf_dir):
+    """Nested values, numbers, booleans and nulls of a resource keep their types."""
+    return scan.fhir_redact(view(spark, sf_dir, _TYPED), "resource").select("c_custkey", "redacted")
+
+
+@query("""SELECT c_custkey, '{"active":true,"id":"00' || c_custkey || '","link":{"list":[1,null,"[y"]},"tag":"true","weight":' || (c_custkey % 90) || '}' AS kept FROM customer""")
+def minimum_necessary_typed(spark, sf_dir):
+    """strings that look like numbers, booleans or lists stay strings; nested paths stay nested."""
+    rows = view(spark, sf_dir, _TYPED)
+    return rows.select("c_custkey", scan.minimum_necessary(F.col("resource"), ["id", "active", "weight", "tag", "link.list", "link.none", "absent"]).alias("kept"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'call [REDACTED:PHONE] {' WHEN 1 THEN '{\"a\":[REDACTED' ELSE '[\"[REDACTED:EMAIL]\",[[\"[REDACTED:MAX_DEPTH_EXCEEDED]\"]]]' END AS redacted, CASE o_orderkey % 3 WHEN 0 THEN 'PHONE' WHEN 1 THEN '' ELSE 'EMAIL,SCAN_DEPTH_EXCEEDED' END AS types FROM orders")
+def scan_json_fallback(spark, sf_dir):
+    """Text that is no JSON is scanned as text; what lies too deep is tagged."""
+    text = F.when(F.col("o_orderkey") % 3 == 0, "call 617-555-0123 {").when(F.col("o_orderkey") % 3 == 1, '{"a":[REDACTED').otherwise('["a@example.com",[["deep"]]]')
+    out = scan.scan_json(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("j")), "j", most=3, found="found")
+    return out.select("o_orderkey", "redacted", F.array_join("found.phi_type", ",").alias("types"))
+
+
+@query("SELECT o_orderkey AS note_id, 'VISIT' AS phi_type, 0 AS start, 15 AS stop FROM orders")
+def phi_custom_detector(spark, sf_dir):
+    """A detector of one's own beside the patterns; its surer hit takes the date it overlaps."""
+    own = detect.pattern_detector("VISIT", r"Seen \d{4}-\d{2}-\d{2}", 0.99)
+    rows = notes(spark, sf_dir).select("note_id", F.explode(detect.detect_with(F.col("text"), [detect.raw_hits, own])).alias("h"))
+    return rows.where("h.phi_type = 'VISIT'").select("note_id", F.col("h.phi_type").alias("phi_type"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"))
+
+
+def _plain(sql: str) -> str:
+    """A view's SQL for DuckDB, where braces in literals are not doubled."""
+    return views.duck(sql).replace("{{", "{").replace("}}", "}")
+
+
+_CALLS = """SELECT 'c' || cast(c_custkey AS string) AS session_id, c_custkey AS ord, 'look "up"' AS tool, '{{"mail":"c' || cast(c_custkey AS string) || '@example.com","n":3}}' AS arguments,
+  CASE WHEN c_custkey % 2 = 0 THEN '{{"ok":true,"call":"617-555-0123"}}' END AS result FROM {customer}"""
+
+
+@query(
+    f"""WITH k AS ({_plain(_CALLS)}) SELECT session_id, 'tool_call' AS event_type, sha256(arguments) AS hash, '{{"tool_name":"look \\"up\\"","arguments":{{"mail":"[REDACTED:EMAIL]","n":3}}}}' AS payload, 1 AS n_tags FROM k
+    UNION ALL SELECT session_id, 'tool_result', sha256(result), '{{"tool_name":"look \\"up\\"","result":{{"ok":true,"call":"[REDACTED:PHONE]"}}}}', 1 FROM k WHERE result IS NOT NULL"""
+)
+def tool_events(spark, sf_dir):
+    """Tool calls and results as events, with the raw payload's hash, the redacted payload and a tag a hit."""
+    out = adapters.tool_events(view(spark, sf_dir, _CALLS))
+    called = F.col("event_type") == "tool_call"
+    return out.select("session_id", "event_type", F.when(called, F.col("input_hash")).otherwise(F.col("output_hash")).alias("hash"), F.when(called, F.col("redacted_input")).otherwise(F.col("redacted_output")).alias("payload"), F.size("phi_tags_detected").alias("n_tags"))
+
+
+_SENT = """SELECT 'c' || cast(conv_id AS string) AS session_id, turn AS ord, role AS sender, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS receiver, '{{"body":"write a' || cast(turn AS string) || '@example.com"}}' AS message, 'k' || cast(conv_id AS string) AS correlation_id FROM {conversations}"""
+
+
+@query(f"""SELECT session_id, ord, 'inter_agent_message' AS event_type, sender AS agent_id, sha256(message) AS output_hash, '{{"to":' || coalesce('"' || receiver || '"', 'null') || ',"message":{{"body":"write [REDACTED:EMAIL]"}}}}' AS payload, 1 AS n_tags FROM ({_plain(_SENT)})""")
+def message_events(spark, sf_dir):
+    """I4: messages between agents as events."""
+    out = adapters.message_events(view(spark, sf_dir, _SENT))
+    return out.select("session_id", "ord", "event_type", "agent_id", "output_hash", F.col("redacted_output").alias("payload"), F.size("phi_tags_detected").alias("n_tags"))
+
+
+@query(f"""SELECT session_id, ord, 'a2a_message' AS event_type, '' AS output_hash, '{{"to":' || coalesce('"' || receiver || '"', 'null') || ',"message":{{"body":"write [REDACTED:EMAIL]"}},"correlation_id":"' || correlation_id || '"}}' AS payload FROM ({_plain(_SENT)})""")
+def a2a_events(spark, sf_dir):
+    """Messages of the agent-to-agent protocol, with their correlation id."""
+    return adapters.message_events(view(spark, sf_dir, _SENT), "a2a").select("session_id", "ord", "event_type", "output_hash", F.col("redacted_output").alias("payload"))
 
 
 _HL7 = "SELECT c_custkey, 'MSH|^~&|SYS' || chr(13) || 'PID|1||' || cast(100000 + c_custkey AS string) || '||' || c_name || '||1980|F' || chr(13) || 'PV1|1|I|W||||' || 'DR' || cast(c_custkey % 7 AS string) || chr(13) AS text FROM {customer}"
@@ -619,6 +687,35 @@ def rule_evidence(spark, sf_dir):
     return rules.evidence(_all(spark, sf_dir), "phi_redacted_when_detected")
 
 
+_ENDED = f"SELECT session_id, event_id, sequence_number, risk_tier, CASE WHEN sequence_number = max(sequence_number) OVER (PARTITION BY session_id) AND sequence_number % 2 = 0 THEN 'session_end' ELSE event_type END AS event_type FROM ({views.AUDIT})"
+
+
+@query(
+    f"WITH e AS ({views.duck(_ENDED)}), f AS (SELECT session_id, min(CASE WHEN event_type = 'session_start' THEN sequence_number END) AS a, min(CASE WHEN event_type = 'session_end' THEN sequence_number END) AS b FROM e GROUP BY session_id) "
+    "SELECT session_id, event_id FROM e JOIN f USING (session_id) WHERE a IS NOT NULL AND b IS NOT NULL AND ((event_type = 'session_start' AND sequence_number = a) OR (event_type = 'session_end' AND sequence_number = b))"
+)
+def rule_evidence_bounds(spark, sf_dir):
+    """V7's evidence: the first start and the first end, where a session has both."""
+    return rules.evidence(view(spark, sf_dir, _ENDED), "session_has_start_and_end")
+
+
+_YAML = """
+name: house
+rules:
+  - {id: H1, predicate: "event_count >= 3", severity: warning}
+  - {id: H2, predicate: "every_event.has(input_hash)"}
+"""
+
+
+@query(
+    f"WITH ev AS ({ALL}), g AS (SELECT session_id, count(*) AS n FROM ev GROUP BY session_id) SELECT session_id, 'H1' AS rule_id, 'house' AS framework, 'warning' AS severity, n >= 3 AS satisfied, 'event_count=' || n || ' vs threshold=3' AS reason FROM g "
+    "UNION ALL SELECT session_id, 'H2', 'house', 'info', true, 'all events have input_hash' FROM g"
+)
+def rules_from_yaml(spark, sf_dir):
+    """Rules read from YAML."""
+    return rules.evaluate(_all(spark, sf_dir), rules.load_rules(_YAML)).select("session_id", "rule_id", "framework", "severity", "satisfied", "reason")
+
+
 _SUMMARY = f"""
 WITH ev AS ({ALL}), st AS (SELECT *, sequence_number - lag(sequence_number) OVER (PARTITION BY session_id ORDER BY sequence_number) AS step FROM ev),
 g AS (SELECT session_id, (arg_max(ts_us, sequence_number) - arg_min(ts_us, sequence_number)) / 1e6 AS duration_seconds, count(*) AS total_events, count(confidence_score) AS n_confidences, round(avg(confidence_score), 9) AS mean_confidence,
@@ -635,6 +732,15 @@ def session_report(spark, sf_dir):
     )
 
 
+@query(
+    f"SELECT session_id, total_events, gaps, rules_evaluated, rules_satisfied, rules_failed_blocker FROM ({_SUMMARY} SELECT session_id, total_events, gaps FROM g) JOIN "
+    f"({_RULED} SELECT session_id, count(*) AS rules_evaluated, count(*) FILTER (ok) AS rules_satisfied, count(*) FILTER (NOT ok AND sev = 'blocker') AS rules_failed_blocker FROM rs GROUP BY session_id) USING (session_id)"
+)
+def session_report_full(spark, sf_dir):
+    """The whole report, a row a session."""
+    return report.build(_all(spark, sf_dir)).select("session_id", "total_events", "gaps", "rules_evaluated", "rules_satisfied", "rules_failed_blocker")
+
+
 @query(_SUMMARY + " SELECT session_id, concat_ws(' | ', CASE WHEN mean_confidence < 0.7 THEN 'Mean session confidence below 0.70 — review prompt design and grounding sources.' END, CASE WHEN errs > 0 OR gaps > 0 THEN 'Investigate flagged anomalies before next deployment.' END) AS recommendations FROM g")
 def session_recommendations(spark, sf_dir):
     """G10."""
@@ -679,6 +785,26 @@ def dose_validate(spark, sf_dir):
 _CHANGES = "SELECT event_id, 'u' || cast(user_id % 40 AS string) AS session_id, cast({micros}(ts) AS bigint) AS ts_us FROM {events}"
 
 
+_CONTROL = """SELECT 'u' || cast(user_id % 50 AS string) AS session_id, cast({micros}(ts) AS bigint) AS ts_us, event_id, CASE event_id % 17 WHEN 0 THEN 'emergency_stop' WHEN 5 THEN 'reset' WHEN 6 THEN 'device_change' ELSE 'tool_call' END AS kind FROM {events}"""
+
+
+@query(f"SELECT event_id, coalesce(last_value(CASE WHEN kind IN ('emergency_stop', 'reset') THEN kind END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING), 'reset') = 'reset' AS running FROM ({views.duck(_CONTROL)})")
+def emergency_stop(spark, sf_dir):
+    """M5: what an emergency stop holds back until a reset."""
+    return device.emergency_gate(view(spark, sf_dir, _CONTROL)).select("event_id", "running")
+
+
+@query(
+    f"WITH e AS ({views.duck(_CONTROL)}), r AS (SELECT session_id, max(CASE WHEN kind = 'reset' THEN (ts_us, event_id) END) AS at, max(CASE WHEN kind IN ('emergency_stop', 'reset') THEN (ts_us, event_id, kind) END) AS control FROM e GROUP BY session_id) "
+    "SELECT e.session_id, 'C' AS software_safety_class, 'pump' AS device_type, CAST(NULL AS VARCHAR) AS udi, 5::BIGINT AS rate_limit_per_hour, count(*) FILTER (kind = 'device_change' AND (r.at IS NULL OR (ts_us, event_id) > r.at)) AS device_changes_this_session, "
+    "coalesce(any_value(control[3]) = 'emergency_stop', false) AS emergency_stop_engaged FROM e JOIN r USING (session_id) GROUP BY e.session_id"
+)
+def device_report(spark, sf_dir):
+    """M6: the report's device section."""
+    config = {"enabled": True, "software_safety_class": "C", "device_type": "pump", "rate_limit_per_hour": 5}
+    return device.report_section(view(spark, sf_dir, _CONTROL), config).select("session_id", "software_safety_class", "device_type", "udi", "rate_limit_per_hour", "device_changes_this_session", "emergency_stop_engaged")
+
+
 @query(f"SELECT event_id, session_id, c AS changes_in_hour, c <= 2 AS within_limit FROM (SELECT a.event_id, a.session_id, count(*) AS c FROM ({views.duck(_CHANGES)}) a JOIN ({views.duck(_CHANGES)}) b ON a.session_id = b.session_id AND b.ts_us BETWEEN a.ts_us - 3600000000 AND a.ts_us AND (b.ts_us < a.ts_us OR b.event_id <= a.event_id) GROUP BY a.event_id, a.session_id)")
 def rate_limit(spark, sf_dir):
     """M2: changes of the rolling hour."""

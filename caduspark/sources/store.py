@@ -17,8 +17,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = EVENT, strict: bool
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def jdbc_url(path: str) -> str:
+    """The JDBC URL of a SQLite file's path; other paths as they are."""
+    return f"jdbc:sqlite:{path}" if path.endswith((".sqlite", ".sqlite3", ".db")) else path
+
+
+def location(policy) -> str | None:
+    """Where a policy keeps its events, as read_store takes it; None for the memory backend."""
+    if policy.backend == "memory":
+        return None
+    if policy.backend not in ("jsonl", "parquet", "sqlite", "jdbc"):
+        raise ValueError(f"unknown audit backend: {policy.backend}")
+    return f"jdbc:sqlite:{policy.path}" if policy.backend == "sqlite" else policy.path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it would be read by fewer tasks (few, large row groups); for work that outweighs a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_store(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
-    """Reader by path: jdbc:..., .parquet or a folder, else JSON lines."""
+    """Reader by path: jdbc:..., SQLite files by their suffix, .parquet, else JSON lines."""
+    path = jdbc_url(path)
     if path.startswith("jdbc:"):
         rows = spark.read.format("jdbc").option("url", path).option("dbtable", "audit_events").load()
         return rehydrate(rows, schema)

@@ -20,9 +20,11 @@ from caduspark.operators.chain import body
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share; in local mode, where the session names none, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="caduspark-")
@@ -132,7 +134,7 @@ def rates_stream(events: DataFrame, ts: str, width: str, by: list[str], late: st
 
 
 def close_sessions_stream(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """Sessions that an explicit end or idle time has closed: (session_id, last_ts, ended); an end is made up where missing.
+    """Sessions that an explicit end or idle time has closed: (session_id, last_ts, ended); ended is false where no end came.
 
     events (session_id, ts timestamp, event_type) with a watermark on ts set by the caller or here.
     """

@@ -100,7 +100,51 @@ def test_json_depth_and_keys(spark):
     rows = spark.createDataFrame([('{"a@b.co":1,"c@d.co":{"resourceType":"Patient","name":"x"}}',), (deep,), ("{bad",), (None,)], "j string")
     got = [r.redacted for r in scan.scan_json(rows, "j", most=4).collect()]
     assert got[0] == '{"[REDACTED:EMAIL]":1,"[REDACTED:EMAIL]_":{"resourceType":"Patient","name":"[REDACTED:name]"}}'
-    assert "MAX_DEPTH" in got[1] and got[2] is None and got[3] is None
+    assert "MAX_DEPTH" in got[1] and got[2] == "{bad" and got[3] is None  # text that is no JSON is scanned as text
+    rows = spark.createDataFrame([(deep,), ("call 617-555-0123 {",), ("[" * 20_000,), ('{"resourceType":"Patient","name":[{"family":"x"}],"active":true,"n":7,"zip":"007"}',)], "j string")
+    got = scan.scan_json(rows, "j", most=4, found="tags").collect()
+    assert [t.phi_type for t in got[0].tags] == ["SCAN_DEPTH_EXCEEDED"] == [t.phi_type for t in got[2].tags]
+    assert got[1].redacted == "call [REDACTED:PHONE] {" and [t.phi_type for t in got[1].tags] == ["PHONE"]
+    assert got[3].redacted == '{"resourceType":"Patient","name":"[REDACTED:name]","active":true,"n":7,"zip":"007"}'
+
+
+def test_minimum_necessary_keeps_types(spark):
+    row = '{"id":"007","name":"true","note":"[x","n":7,"ok":false,"gone":null,"in":{"a":{"b":[1,"2"]},"c":1},"empty":{}}'
+    df = spark.createDataFrame([(row,), ("no json",)], "j string")
+    paths = ["id", ".name", "note", "n", "ok", "gone", "in.a.b", "empty.x", "absent"]
+    got = [r[0] for r in df.select(scan.minimum_necessary(F.col("j"), paths)).collect()]
+    assert got == ['{"gone":null,"id":"007","in":{"a":{"b":[1,"2"]}},"n":7,"name":"true","note":"[x","ok":false}', "{}"]
+
+
+def test_rules_from_yaml(tmp_path):
+    text = "name: mine\nversion: 2\nrules:\n  - {id: A, predicate: event_count >= 1, severity: blocker, references: [x]}\n  - {id: B, predicate: chain_verifies}\n"
+    (tmp_path / "b.yaml").write_text(text)
+    (tmp_path / "a.yaml").write_text("rules: []")
+    got = rules.load_folder(tmp_path)
+    assert [(r.id, r.framework, r.severity, r.references) for r in got] == [("A", "mine", "blocker", ("x",)), ("B", "mine", "info", ())]
+    for bad in ("- a list", "rules: 3", "rules: [{id: A}]"):
+        with pytest.raises(ValueError):
+            rules.load_rules(bad)
+
+
+def test_detectors_of_ones_own(spark):
+    df = spark.createDataFrame([("case-12 of a@b.co",), (None,)], "t string")
+    own = (detect.pattern_detector("CASE", r"case-\d+", 0.9), detect.udf_detector(lambda t: [("WORD", t.index(" of "), t.index(" of ") + 4, 0.5)], "model"))
+    got = scan.scan(df, "t", detectors=own).collect()
+    assert [(h.phi_type, h.start, h.end) for h in got[0].hits] == [("CASE", 0, 7), ("WORD", 7, 11), ("EMAIL", 11, 17)] and got[1].hits == []
+
+
+def test_stores_by_policy(tmp_path):
+    assert store.location(policy.load({"audit": {"backend": "sqlite", "path": "/x/e.db"}})) == "jdbc:sqlite:/x/e.db"
+    assert store.location(policy.load({"audit": {"backend": "jsonl", "path": "/x/e.jsonl"}})) == "/x/e.jsonl"
+    assert store.location(policy.load({})) is None and store.jdbc_url("/x/e.sqlite3") == "jdbc:sqlite:/x/e.sqlite3"
+    with pytest.raises(ValueError):
+        store.location(policy.load({"audit": {"backend": "tape"}}))
+
+
+def test_timed_keeps_a_budget():
+    budget = metrics.Budget("scan", 1e9)
+    assert metrics.timed(budget)(lambda x: x + 1)(1) == 2 and len(budget.samples) == 1 and budget.p95() < 1e9 and budget.holds()
 
 
 def test_hostile_strings_are_linear(spark):
