@@ -5,7 +5,8 @@ model spans.  Distinct units are encoded once, in batches of equal length that a
 substrings up to the longest piece probe the sorted piece keys, which gives every substring's id.  Then, for
 each end position, vectorised maxima over the piece lengths store scores and backpointers.
 
-* A unigram model weighs a piece by its score; ties go to the longer piece, as in the library.
+* A unigram model weighs a piece by its score; ties go to the longer piece, as in the library.  (The library sums over
+  the whole text in single precision, so between segmentations of one unit with equal sums its rounding may choose otherwise.)
 * A BPE model does not ask for the best sum of scores.  But its segmentation is the one sequence of pieces in which every two
   neighbours withstand the merges: text a + b, merged by itself, ends as the pieces a and b.  So a transition from a to b
   weighs 0 if the pair stands and minus infinity if not, and the path with a finite sum is the library's.  Whether a
