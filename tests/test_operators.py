@@ -23,7 +23,8 @@ def hits(spark, texts, build):
 CASES = [
     "", "SSN 123-45-6789 and 123 45-6789, not 000-12-3456 or 666-12-3456", "a@b.co x@y.org.", "(617) 555-0123 +1 617 555 0123 2175550123", "10.0.0.1 and 256.1.1.1",
     "see https://x.org/a?b=c'd", "2024-01-02 1/2/2024 March 3, 2024", "MRN: AB-1234 Medical record shows", "NPI 1234567893 DEA: AB1234567", "02139-4307", "NPI: 5123456789 overlaps",
-    "１２３-45-6789 é 123-45-6789",
+    "１２３-45-6789 é 123-45-6789", "call \x01 617-555-0127 or\x01 617-555-0128 a@b.co", "10.0.0.1\x0110.0.0.2", "\x01", "mRn#ABCD npı 1234567893 MEDICAL  RECORD: XY12",
+    "\U0001f600 330-07-7333 \U0001f600 10.0.0.1 a.b@c.de", "٣٣٠-٠٧-٧٣٣٣ and 330-07-7333é",
 ]
 
 
