@@ -46,15 +46,14 @@ def replacement(h: Column, mode: str, overrides: dict[str, str] | None = None, s
 
 
 def redact(text: Column, hits: Column, mode: str = "REDACT", overrides: dict[str, str] | None = None, salt: str = "session") -> Column:
-    """The text with its (disjoint, ordered) hits replaced, built from left to right in one fold."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with its (disjoint, ordered) hits replaced: a piece a hit, each with the gap before it, joined once."""
 
-    def step(acc: Column, h: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, h["start"] - acc["at"])
-        return F.struct(h["end"].alias("at"), F.concat(acc["out"], gap, replacement(h, mode, overrides, salt)).alias("out"))
+    def done(hits: Column) -> Column:
+        def piece(h: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(hits, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(text, at + 1, h["start"] - at), replacement(h, mode, overrides, salt))
 
-    def done(h: Column) -> Column:
-        whole = F.aggregate(h, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-        return F.when(F.size(h) > 0, whole).otherwise(text)
+        rest = F.substring(text, F.get(hits, F.size(hits) - 1)["end"] + 1, F.length(text))
+        return F.when(F.size(hits) > 0, F.concat(F.array_join(F.transform(hits, piece), ""), rest)).otherwise(text)
 
     return let(hits, done)

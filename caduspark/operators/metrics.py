@@ -46,8 +46,10 @@ def latency_quantiles(df: DataFrame, ts_us: str, value: str, minutes: int = 5) -
 
 
 def scan_cached(df: DataFrame, text: str, scan) -> DataFrame:
-    """scan() once per distinct text, joined back: worth it where texts repeat."""
-    return df.join(scan(df.select(text).distinct()), text, "left")
+    """scan() once per distinct text, joined back by the text's SHA-256, so that texts cross one shuffle and no sort."""
+    rows = df.withColumn("__text_hash", F.sha2(F.col(text), 256))
+    once = scan(rows.groupBy("__text_hash").agg(F.first(text).alias(text))).drop(text)
+    return rows.join(once, "__text_hash", "left").drop("__text_hash")
 
 
 @dataclass
