@@ -21,8 +21,13 @@ def hmac_pads(key: bytes) -> tuple[str, str]:
 def hmac_sha256(message: Column, key: bytes) -> Column:
     """Hex HMAC-SHA256 of a text.  The padded key shows in plans; set spark.sql.redaction.string.regex for logs."""
     inner, outer = hmac_pads(key)
-    first = F.sha2(F.concat(F.unhex(F.lit(inner)), F.encode(message, "UTF-8")), 256)
-    return F.sha2(F.concat(F.unhex(F.lit(outer)), F.unhex(first)), 256)
+    return hmac_by_pads(message, F.lit(inner), F.lit(outer))
+
+
+def hmac_by_pads(message: Column, inner: Column, outer: Column) -> Column:
+    """Hex HMAC-SHA256 of a text under the hmac_pads() of the row's own key; null where the row has none."""
+    first = F.sha2(F.concat(F.unhex(inner), F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(F.unhex(outer), F.unhex(first)), 256)
 
 
 def payload_hash(payload: Column) -> Column:

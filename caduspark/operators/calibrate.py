@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caduspark.functions import signals
@@ -39,35 +37,30 @@ def nll(df: DataFrame, probability: str, label: str, temperature: float) -> Data
     return df.agg(F.avg(loss).alias("nll"))
 
 
-def fit_temperature(df: DataFrame, probability: str, label: str, low: float = 0.01, high: float = 10.0, digits: int = 6) -> float:
-    """Temperature in [low, high] of the least loss.
+def fit_temperature(df: DataFrame, probability: str, label: str, low: float = 0.01, high: float = 10.0, digits: int = 6, steps: int = 32) -> float:
+    """Temperature in [low, high] of the least loss, to 1e-6; the loss has one minimum.
 
-    One job counts (probability, label) pairs at `digits` digits (at most 10**digits + 1 values); the search runs on these counts.
+    The (probability, label) pairs, counted at `digits` digits, stay distributed.  Each job takes the losses at steps + 1
+    temperatures in one aggregate and narrows the interval to the neighbours of the best.
     """
-    rows = df.groupBy(F.round(probability, digits).alias("p"), F.col(label).alias("y")).count().collect()
-    if not rows:
-        raise ValueError("no samples to fit")
+    pairs = df.groupBy(F.round(probability, digits).alias("p"), F.col(label).alias("y")).agg(F.count("*").alias("n")).where("p is not null and y is not null").persist()
+
+    def losses(grid: list[float]) -> list[float]:
+        def loss(t: float) -> Column:
+            s = signals.temper(F.col("p"), t)
+            return F.sum(-F.col("n") * F.ln(F.greatest(F.when(F.col("y"), s).otherwise(1 - s), F.lit(1e-15))))
 
-    def loss(t: float) -> float:
-        total = 0.0
-        for p, y, n in rows:
-            p = min(1 - 1e-15, max(1e-15, p))
-            z = math.log(p / (1 - p)) / t
-            s = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
-            total -= n * math.log(max(s if y else 1 - s, 1e-15))
-        return total
+        return list(pairs.agg(*[loss(t).alias(f"l{i}") for i, t in enumerate(grid)]).first())
 
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = low, high
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = loss(c), loss(d)
-    while b - a > 1e-6:  # golden section: the loss has one minimum
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = loss(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = loss(d)
-    return (a + b) / 2
+    try:
+        while True:
+            grid = [low + (high - low) * i / steps for i in range(steps + 1)]
+            found = losses(grid)
+            if found[0] is None:
+                raise ValueError("no samples to fit")
+            best = min(range(steps + 1), key=found.__getitem__)
+            low, high = grid[max(best - 1, 0)], grid[min(best + 1, steps)]
+            if high - low <= 2e-6:
+                return (low + high) / 2
+    finally:
+        pairs.unpersist()
