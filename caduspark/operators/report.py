@@ -53,8 +53,18 @@ def phi_summary(tags: DataFrame, session: str = "session_id") -> DataFrame:
 
 
 def listed(events: DataFrame, event_type: str) -> DataFrame:
-    """Ordered rows of one kind of event: actions, escalations, reviews or errors of the report."""
-    return events.where(F.col("event_type") == event_type).select("session_id", "sequence_number", "event_id", "agent_id", "risk_tier", "confidence_score", "ts_us")
+    """Ordered rows of one kind of event: actions, escalations, reviews or errors of the report.
+
+    Actions name their tool where the events hold the redacted input.
+    """
+    tool = [F.get_json_object("redacted_input", "$.tool_name").alias("tool")] if "redacted_input" in events.columns else []
+    return events.where(F.col("event_type") == event_type).select("session_id", "sequence_number", "event_id", "agent_id", "risk_tier", "confidence_score", "ts_us", *tool)
+
+
+def confidences(events: DataFrame) -> DataFrame:
+    """(session_id, confidence_scores): the scores that are not null, zeros included, in order."""
+    scored = F.when(F.col("confidence_score").isNotNull(), F.struct("sequence_number", "event_id", "confidence_score"))
+    return events.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(scored)), lambda x: x["confidence_score"]).alias("confidence_scores"))
 
 
 def rule_summary(results: DataFrame) -> DataFrame:
@@ -89,10 +99,25 @@ def propagation_view(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin("inter_agent_message", "a2a_message") & F.col("target").isNotNull()).select(F.col("agent_id").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-def to_html(row: dict) -> str:
-    """One session's report row as an HTML table."""
-    cells = "".join(f"<tr><th>{html.escape(str(k))}</th><td>{html.escape(str(v))}</td></tr>" for k, v in row.items())
-    return f"<html><body><h1>Session {html.escape(str(row.get('session_id', '')))}</h1><table>{cells}</table></body></html>"
+def _table(title: str, head: list[str], rows: list[list]) -> str:
+    cells = lambda row, tag: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in row)
+    body = "".join(f"<tr>{cells(row, 'td')}</tr>" for row in rows)
+    return f"<h2>{html.escape(title)}</h2><table><tr>{cells(head, 'th')}</tr>{body}</table>"
+
+
+def to_html(row: dict, rules: list[dict] = (), identifiers: list[dict] = (), counts: list[dict] = ()) -> str:
+    """One session's report as a page of four tables: the report's row, rules with PASS or FAIL, identifiers by type, events by type.
+
+    The rows are those of build(), rules.evaluate(), phi_summary() and type_counts() for the session.
+    """
+    name = html.escape(str(row.get("session_id", "")))
+    tables = [
+        _table("Summary", ["Field", "Value"], [[k, "" if v is None else v] for k, v in row.items()]),
+        _table("Rules", ["Framework", "Rule", "Severity", "Result", "Reason"], [[r["framework"], r["rule_id"], r["severity"], "PASS" if r["satisfied"] else "FAIL", r["reason"]] for r in rules]),
+        _table("Identifiers", ["Type", "Found"], [[r["phi_type"], r["n"]] for r in identifiers]),
+        _table("Events", ["Type", "Events"], [[r["event_type"], r["n"]] for r in counts]),
+    ]
+    return f"<html><body><h1>Session {name}</h1>{''.join(tables)}</body></html>"
 
 
 def to_json(report: DataFrame) -> Column:

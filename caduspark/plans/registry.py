@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from caduspark.functions import detect, fixed, redact, signals
 from caduspark.operators import calibrate, chain, device, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import duck, views
-from caduspark.sources import adapters, store
+from caduspark.sources import adapters, keys, store
 from caduspark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +387,13 @@ def propagation_paths(spark, sf_dir):
     return out.select("tag_id", F.array_join("path", ">").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
+@query("SELECT conv_id AS tag_id, arg_max(role, turn) AS origin_agent, max(turn) AS turn FROM conversations GROUP BY conv_id")
+def propagation_register(spark, sf_dir):
+    """The last registration of each tag holds."""
+    tags = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tag_id"), F.col("role").alias("origin_agent"), "turn")
+    return propagation.register(tags, "turn")
+
+
 @query(f"SELECT DISTINCT src, dst FROM ({views.duck(_EDGES)}) WHERE dst IS NOT NULL")
 def propagation_view(spark, sf_dir):
     """Distinct edges between agents."""
@@ -772,6 +780,32 @@ def report_phi_summary(spark, sf_dir):
     return report.phi_summary(rows.withColumn("session_id", F.col("note_id") % 20)).select("phi_type", "session_id", "n")
 
 
+
+@query(f"SELECT event_type, session_id, sequence_number, event_id, agent_id FROM ({ALL}) WHERE event_type IN ('escalation_triggered', 'human_review_response', 'module_error')")
+def session_lists(spark, sf_dir):
+    """Escalations, reviews and errors."""
+    events = _all(spark, sf_dir)
+    out = None
+    for kind in ("escalation_triggered", "human_review_response", "module_error"):
+        one = report.listed(events, kind).select(F.lit(kind).alias("event_type"), "session_id", "sequence_number", "event_id", "agent_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT event_id, 'tool' || (sequence_number % 3) AS tool FROM ({ALL}) WHERE event_type = 'tool_call'")
+def session_tools(spark, sf_dir):
+    """the tool of each action, from the redacted input."""
+    given = F.to_json(F.struct(F.concat(F.lit("tool"), (F.col("sequence_number") % 3).cast("string")).alias("tool_name")))
+    return report.listed(_all(spark, sf_dir).withColumn("redacted_input", given), "tool_call").select("event_id", "tool")
+
+
+@query(f"SELECT session_id, coalesce(string_agg(CAST(round(confidence_score * 100) AS BIGINT), ',' ORDER BY sequence_number) FILTER (confidence_score IS NOT NULL), '') AS scores FROM ({ALL}) GROUP BY session_id")
+def session_confidences(spark, sf_dir):
+    """The scores of a session in order, in hundredths."""
+    shown = F.transform("confidence_scores", lambda c: F.round(c * 100).cast("bigint").cast("string"))
+    return report.confidences(_all(spark, sf_dir)).select("session_id", F.array_join(shown, ",").alias("scores"))
+
+
 # --- device mode ----------------------------------------------------------------------------------------
 
 
@@ -884,6 +918,13 @@ def cia_flags(spark, sf_dir):
     return device.impact_flags(_deployments(spark, sf_dir, False), _deployments(spark, sf_dir, True))
 
 
+@query(f"SELECT conv_id, turn, {duck.hmac('text', KEY)} AS mac, 'env' AS key_id FROM conversations")
+def signed_by_provider(spark, sf_dir):
+    """Signatures under a key that a provider resolves."""
+    provider = keys.EnvironmentKey("K", environment={"K": base64.b64encode(KEY).decode()})
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", keys.sign(F.col("text"), provider).alias("mac"), F.lit(provider.key_id).alias("key_id"))
+
+
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'II' ELSE 'III' END AS rigor, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 8 END::INT AS n_documents FROM customer")
 def rigor_map(spark, sf_dir):
     """M10."""
@@ -956,6 +997,17 @@ def sink_idempotent(spark, sf_dir):
     return known.unionByName(store.idempotent_append(known, rows.unionByName(rows)))
 
 
+@query(f"SELECT unnest(['sessions', 'table']) AS sink, event_id, session_id, event_type FROM ({AUDIT})")
+def sink_fan_out(spark, sf_dir):
+    """K7, K8: one batch to a folder a session and to a Parquet table."""
+    schema = "event_id string, session_id string, event_type string"
+    where = f"{sessions.shared_dir(spark)}/fan-{__import__('uuid').uuid4().hex}"
+    batch = view(spark, sf_dir, views.AUDIT).select("event_id", "session_id", "event_type")
+    store.fan_out(batch, [lambda b: store.append_by_session(b, f"{where}/sessions"), lambda b: b.write.mode("append").parquet(f"{where}/table.parquet")])
+    first = spark.read.schema(schema).json(f"{where}/sessions").withColumn("sink", F.lit("sessions"))
+    return first.unionByName(store.read_store(spark, f"{where}/table.parquet").withColumn("sink", F.lit("table")))
+
+
 @query(f"SELECT session_id, sequence_number, event_id, event_type, agent_id FROM ({AUDIT})")
 def jsonl_roundtrip(spark, sf_dir):
     """Events written as JSON lines and read back strictly."""
@@ -1072,9 +1124,9 @@ def stream_consistency(spark, sf_dir):
 
 @query("SELECT DISTINCT 'u' || user_id AS session_id, 'n' || (event_id % 97) AS nonce FROM events")
 def stream_token_dedup(spark, sf_dir):
-    """Each nonce of a session once within the watermark."""
+    """Each nonce of a session once within the watermark; the table is one batch, within which nothing expires."""
     rows = _stream(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.concat(F.lit("n"), (F.col("event_id") % 97).cast("string")).alias("nonce"), F.col("ts").cast("timestamp").alias("issued_at"))
-    return sessions.run_available(sessions.token_dedup_stream(rows, age="3650 days")).select("session_id", "nonce")
+    return sessions.run_available(sessions.token_dedup_stream(rows)).select("session_id", "nonce")
 
 
 @query("SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS window_us, event_type, count(*) AS n FROM events GROUP BY ALL HAVING max(epoch_us(date_trunc('hour', ts)) + 3600000000) <= (SELECT max(epoch_us(ts)) FROM events)")
@@ -1084,21 +1136,48 @@ def stream_rates(spark, sf_dir):
     return sessions.run_available(sessions.rates_stream(rows, "ts", "1 hour", ["event_type"]))
 
 
-@query()
+_CLOSED = """
+WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS us, event_type = 'purchase' AS e FROM events),
+b AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY session_id ORDER BY us) > 1800000000, true)::INT AS fresh FROM e),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS part FROM b),
+closed AS (SELECT session_id, max(us) AS last_us, bool_or(e) AS ended FROM p GROUP BY session_id, part HAVING max(us) + 1800000000 + 600000000 <= (SELECT max(us) FROM e))
+"""
+
+
+def _closed(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "session_end").otherwise("tool_call").alias("event_type"))
+    return sessions.close_sessions_stream(rows)
+
+
+@query(_CLOSED + "SELECT session_id, last_us, ended FROM closed")
 def stream_sessions(spark, sf_dir):
     """Sessions closed by idle time, with or without an explicit end."""
-    rows = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "session_end").otherwise("tool_call").alias("event_type"))
-    return sessions.run_available(sessions.close_sessions_stream(rows))
+    return sessions.run_available(_closed(spark, sf_dir)).select("session_id", F.unix_micros("last_ts").alias("last_us"), "ended")
+
+
+@query(_CLOSED + "SELECT session_id, session_id || '-' || last_us || '-end' AS event_id, 'session_end' AS event_type, last_us AS ts_us FROM closed WHERE NOT ended")
+def stream_session_ends(spark, sf_dir):
+    """A made-up end for each session that closed without one."""
+    return sessions.run_available(sessions.session_ends(_closed(spark, sf_dir))).select("session_id", "event_id", "event_type", "ts_us")
+
+
+@query("SELECT event_id, epoch_us(ts) AS enqueued_us FROM events WHERE event_type = 'purchase' AND event_id % 7 <> 0 AND epoch_us(ts) + 14400000000 <= (SELECT max(epoch_us(ts) + 60000000 * (event_id % 7 = 0)::INT) FROM events WHERE event_type = 'purchase')")
+def stream_overdue(spark, sf_dir):
+    """Reviews whose deadline the watermark has passed; every seventh is resolved after a minute."""
+    rows = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    turns = F.array(F.lit("pending"), F.when(F.col("event_id") % 7 == 0, F.lit("resolved")))
+    queue = rows.select("event_id", "at", F.explode(F.array_compact(turns)).alias("status")).withColumn("at", F.when(F.col("status") == "pending", F.col("at")).otherwise(F.col("at") + F.expr("INTERVAL 1 MINUTE")))
+    return sessions.run_available(sessions.overdue_stream(queue, "at")).select("event_id", F.unix_micros("enqueued").alias("enqueued_us"))
 
 
 @query(f"SELECT event_id, session_id FROM ({AUDIT})")
 def stream_idempotent_sink(spark, sf_dir):
-    """Micro-batches appended so that a replay adds nothing."""
+    """Micro-batches appended so that a replay adds nothing."""
     where = f"{sessions.shared_dir(spark)}/sink-{__import__('uuid').uuid4().hex}"
     schema = "event_id string, session_id string"
     for turn in range(2):  # the second stream sends all events again
-        sessions.append_batches(_audit_stream(spark, sf_dir).select("event_id", "session_id"), f"{where}/store", f"{where}/state{turn}", schema)
-    return spark.read.schema(schema).parquet(f"{where}/store")
+        sessions.append_batches(_audit_stream(spark, sf_dir).select("event_id", "session_id"), f"{where}/store", f"{where}/state{turn}", schema, "session_id")
+    return sessions.read_appended(spark, f"{where}/store", schema)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

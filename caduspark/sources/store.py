@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caduspark.functions import fixed
+
 EVENT = (
     "event_id string, session_id string, timestamp string, sequence_number long, event_type string, agent_id string, agent_framework string, "
     "input_hash string, output_hash string, redacted_input string, redacted_output string, phi_tags_detected array<string>, risk_tier string, "
@@ -49,8 +51,12 @@ def read_store(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame
 
 
 def rehydrate(rows: DataFrame, schema: str = EVENT, payload: str = "payload") -> DataFrame:
-    """Typed events from a JSON payload column, with the defaults of absent fields."""
+    """Typed events from a JSON payload column, with the defaults of absent fields; an unknown event type or tier fails the read."""
     e = rows.select(F.from_json(payload, schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    for name, known in (("event_type", fixed.EVENT_TYPES), ("risk_tier", list(fixed.THRESHOLDS))):
+        if name in e.columns:
+            wrong = F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.col(name))).cast("string")
+            e = e.withColumn(name, F.when(F.col(name).isNull() | F.col(name).isin(known), F.col(name)).otherwise(wrong))
     defaults = {"agent_id": "unknown", "agent_framework": "unknown", "input_hash": "", "output_hash": "", "prev_event_hash": "", "signature": "", "redacted_input": "{}", "redacted_output": "{}"}
     return e.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in e.columns})
 
@@ -116,7 +122,8 @@ def append_jsonl(batch: DataFrame, path: str) -> None:
 
 
 def append_by_session(batch: DataFrame, path: str) -> None:
-    batch.write.mode("append").partitionBy("session_id").json(path)
+    """JSON lines in a folder a session, one file a batch and session."""
+    batch.repartition("session_id").write.mode("append").partitionBy("session_id").json(path)
 
 
 def span_attributes(events: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import uuid
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,10 +54,10 @@ def chain_stream(events: DataFrame, key: bytes) -> DataFrame:
     def step(session: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, prev = state.get if state.exists else (0, "")
         out = []
-        for _, e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).iterrows():
+        for e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).itertuples():
             number += 1
-            canonical = (e["body"].replace(f":{mark}", f":{number}", 1) + prev).encode()
-            out.append((session[0], e["event_id"], number, prev, hashlib.sha256(canonical).hexdigest(), hmac.new(key, canonical, hashlib.sha256).hexdigest()))
+            canonical = (e.body.replace(f":{mark}", f":{number}", 1) + prev).encode()
+            out.append((session[0], e.event_id, number, prev, hashlib.sha256(canonical).hexdigest(), hmac.new(key, canonical, hashlib.sha256).hexdigest()))
             prev = out[-1][4]
         state.update((number, prev))
         yield pd.DataFrame(out, columns=["session_id", "event_id", "sequence_number", "prev_event_hash", "event_hash", "signature"])
@@ -77,12 +79,14 @@ def rate_limit_stream(changes: DataFrame, limit: int) -> DataFrame:
     """Arriving changes (session_id, event_id, ts_us) with the changes of the hour up to each; state: one hour's times."""
 
     def step(session: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        times = deque(state.get[0] if state.exists else [])
         out = []
-        for _, e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).iterrows():
-            times = [t for t in times if t >= e["ts_us"] - 3_600_000_000] + [int(e["ts_us"])]
-            out.append((session[0], e["event_id"], len(times), len(times) <= limit))
-        state.update((times,))
+        for e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).itertuples():
+            while times and times[0] < e.ts_us - 3_600_000_000:
+                times.popleft()
+            times.append(e.ts_us)
+            out.append((session[0], e.event_id, len(times), len(times) <= limit))
+        state.update((list(times),))
         yield pd.DataFrame(out, columns=["session_id", "event_id", "changes_in_hour", "within_limit"])
 
     schema = "session_id string, event_id long, changes_in_hour long, within_limit boolean"
@@ -93,12 +97,16 @@ def rolling_p95_stream(samples: DataFrame, size: int = 1024) -> DataFrame:
     """Arriving samples (session_id, event_id, ts_us, value) with the p95 of the last `size`."""
 
     def step(session: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = deque(state.get[0] if state.exists else [])
+        ranked = sorted(held)
         out = []
-        for _, e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).iterrows():
-            held = (held + [float(e["value"])])[-size:]
-            out.append((session[0], e["event_id"], sorted(held)[(len(held) - 1) * 95 // 100]))
-        state.update((held,))
+        for e in pd.concat(list(frames)).sort_values(["ts_us", "event_id"]).itertuples():
+            if len(held) == size:
+                del ranked[bisect_left(ranked, held.popleft())]
+            held.append(float(e.value))
+            insort(ranked, held[-1])
+            out.append((session[0], e.event_id, ranked[(len(held) - 1) * 95 // 100]))
+        state.update((list(held),))
         yield pd.DataFrame(out, columns=["session_id", "event_id", "p95"])
 
     return samples.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_id long, p95 double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -112,10 +120,10 @@ def consistency_stream(vectors: DataFrame, keep: int = 8) -> DataFrame:
 
         held = [np.array(v) for v in state.get[0]] if state.exists else []
         out = []
-        for _, e in pd.concat(list(frames)).sort_values("event_id").iterrows():
-            v = np.array(e["vector"], float)
+        for e in pd.concat(list(frames)).sort_values("event_id").itertuples():
+            v = np.array(e.vector, float)
             cos = [0.0 if len(u) != len(v) or not u.any() or not v.any() else float(u @ v / np.sqrt(u @ u) / np.sqrt(v @ v)) for u in held]
-            out.append((session[0], e["event_id"], sum(cos) / len(cos) if cos else -1.0))
+            out.append((session[0], e.event_id, sum(cos) / len(cos) if cos else -1.0))
             held = (held + [v])[-keep:]
         state.update(([v.tolist() for v in held],))
         yield pd.DataFrame(out, columns=["session_id", "event_id", "consistency"])
@@ -143,8 +151,41 @@ def close_sessions_stream(events: DataFrame, idle: str = "30 minutes") -> DataFr
     return grouped.select("session_id", "last_ts", (F.col("e") == 1).alias("ended"))
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, schema: str) -> None:
-    """Append arriving events to a Parquet store so that a replayed batch, or a repeated event id, adds nothing."""
+def session_ends(closed: DataFrame) -> DataFrame:
+    """A made-up session_end event for each session that close_sessions_stream closed without one; its id is fixed, so replays make the same one."""
+    rest = closed.where("not ended")
+    return rest.select(
+        "session_id",
+        F.concat_ws("-", "session_id", F.unix_micros("last_ts").cast("string"), F.lit("end")).alias("event_id"),
+        F.lit("session_end").alias("event_type"),
+        F.lit("unknown").alias("agent_id"),
+        F.unix_micros("last_ts").alias("ts_us"),
+    )
+
+
+def overdue_stream(queue: DataFrame, now: str, sla: str = "4 hours") -> DataFrame:
+    """Pending reviews whose deadline the watermark has passed, each once, without a timer of our own.
+
+    queue (event_id, `now` timestamp, status): enqueued reviews, and later rows with another status that resolve them.
+    """
+    rows = queue.withWatermark(now, "0 seconds")
+    waits = rows.groupBy("event_id", F.session_window(now, sla)).agg(F.count_if(F.col("status") != "pending").alias("done"), F.min(now).alias("enqueued"))
+    return waits.where("done = 0").select("event_id", "enqueued")
+
+
+_STORE_BUCKETS = 64
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(_STORE_BUCKETS)).cast("int")
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str, schema: str, within: str | None = None) -> None:
+    """Append arriving events to a Parquet store so that a replayed batch, or a repeated event id, adds nothing.
+
+    within names a column in which equal event ids agree, such as the session: the store is then partitioned by a hash of it,
+    and a batch reads ids only from the partitions that it touches.  Read such a store with read_appended().
+    """
     from caduspark.sources.store import idempotent_append
 
     spark = stream.sparkSession
@@ -152,7 +193,20 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, schema: str) -
     def write(batch: DataFrame, _: int) -> None:
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        known = spark.read.schema(schema).parquet(path) if there else batch.limit(0)
-        idempotent_append(known, batch).write.mode("append").parquet(path)
+        if within is None:
+            known = spark.read.schema(schema).parquet(path) if there else batch.limit(0)
+            idempotent_append(known, batch).write.mode("append").parquet(path)
+            return
+        batch = batch.withColumn("__bucket", _bucket(within))
+        known = batch.limit(0)
+        if there:
+            touched = [r[0] for r in batch.select("__bucket").distinct().collect()]  # at most _STORE_BUCKETS
+            known = spark.read.schema(f"{schema}, __bucket int").parquet(path).where(F.col("__bucket").isin(touched))
+        idempotent_append(known, batch).repartition("__bucket").write.mode("append").partitionBy("__bucket").parquet(path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of a store that append_batches() wrote, with or without partitions."""
+    return spark.read.schema(f"{schema}, __bucket int").parquet(path).drop("__bucket")

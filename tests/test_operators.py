@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from caduspark.functions import detect, fixed, pure, redact, signals
 from caduspark.functions.hashing import hmac_sha256
-from caduspark.operators import calibrate, chain, device, metrics, propagation, routing, rules, scan
+from caduspark.operators import calibrate, chain, device, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import registry
-from caduspark.sources import policy, store
+from caduspark.sources import keys, policy, store
+from caduspark.streaming import sessions
 
 
 def hits(spark, texts, build):
@@ -143,6 +144,108 @@ def test_stores_by_policy(tmp_path):
         store.location(policy.load({"audit": {"backend": "tape"}}))
 
 
+def test_key_providers(spark):
+    import base64
+
+    secret = bytes(range(32))
+    env = keys.EnvironmentKey("K", environment={"K": base64.b64encode(secret).decode()})
+    got = spark.range(1).select(keys.sign(F.lit("x"), env).alias("m")).first().m
+    assert keys.verify(b"x", got, keys.GivenKey(secret)) and not keys.verify(b"y", got, env) and env.key_id == "env"
+    assert len(keys.GivenKey().key()) == 32 and keys.GivenKey().key() != keys.GivenKey().key() and "secret" not in repr(keys.GivenKey())
+    for bad in ({}, {"K": "abc"}, {"K": base64.b64encode(b"short").decode()}):
+        with pytest.raises(ValueError):
+            keys.EnvironmentKey("K", environment=bad)
+
+
+def test_authorization_by_joined_keys(spark):
+    sign = lambda key: hmac.new(key, b"go", hashlib.sha256).hexdigest()
+    rows = [("go", "ann", sign(b"a")), ("go", "ann", sign(b"b")), ("go", "bob", sign(b"b")), ("go", "eve", sign(b"e")), ("go", None, sign(b"a")), (None, "ann", sign(b"a")), ("go", "ann", None)]
+    df = spark.createDataFrame(rows, "action_name string, clinician_id string, signature string")
+    got = device.authorize(df, {"ann": b"a", "bob": b"b"}).collect()
+    assert sorted((r.clinician_id or "", r.authorized) for r in got) == [("", False), ("ann", False), ("ann", False), ("ann", False), ("ann", True), ("bob", True), ("eve", False)]
+    assert not any(r.authorized for r in device.authorize(df, {}).collect())
+
+
+def test_cached_scan_equals_plain(spark):
+    df = spark.createDataFrame([(1, "a@b.co"), (2, "a@b.co"), (3, None), (4, "")], "i int, t string")
+    got = metrics.scan_cached(df, "t", lambda d: d.withColumn("r", scan.plain_scan(F.col("t")))).orderBy("i").collect()
+    assert [(r.i, r.t, r.r) for r in got] == [(1, "a@b.co", "[REDACTED:EMAIL]"), (2, "a@b.co", "[REDACTED:EMAIL]"), (3, None, None), (4, "", "")]
+
+
+def test_rehydration_refuses_unknown_kinds(spark):
+    def read(payload):
+        return store.rehydrate(spark.createDataFrame([(payload,)], "payload string")).collect()
+
+    assert read('{"event_id":"e","event_type":"tool_call","risk_tier":"advisory"}')[0].agent_id == "unknown"
+    for bad in ('{"event_type":"nonsense"}', '{"risk_tier":"huge"}'):
+        with pytest.raises(Exception, match="unknown (event_type|risk_tier)"):
+            read(bad)
+
+
+def test_report_page_and_lists(spark):
+    row = {"session_id": "<s>", "gaps": 0, "mean_confidence": None}
+    rule = {"framework": "f", "rule_id": "r", "severity": "info", "satisfied": False, "reason": "a < b"}
+    page = report.to_html(row, [rule, rule | {"satisfied": True}], [{"phi_type": "SSN", "n": 2}], [{"event_type": "tool_call", "n": 3}])
+    assert page.count("<table>") == 4 and "FAIL" in page and "PASS" in page and "a &lt; b" in page and "<s>" not in page and "None" not in page
+    events = spark.createDataFrame([("s", 2, "b", 0.5), ("s", 1, "a", 0.0), ("s", 3, "c", None), ("t", 1, "d", None)], "session_id string, sequence_number long, event_id string, confidence_score double")
+    assert {r.session_id: r.confidence_scores for r in report.confidences(events).collect()} == {"s": [0.0, 0.5], "t": []}
+
+
+def _in_batches(spark, where, batches, schema):
+    """A stream that takes the given rows batch by batch."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{where}/b{i}")
+        for file in sorted((where / f"b{i}").glob("*.parquet")):
+            (where / "in").mkdir(exist_ok=True)
+            file.rename(where / "in" / f"{i}.parquet")
+            import os
+
+            os.utime(where / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(where / "in"))
+
+
+def test_nonces_expire_after_the_watermark(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    batches = [[("s", "n", at(0))], [("s", "n", at(60))], [("s", "m", at(400))], [("s", "x", at(401))], [("s", "n", at(410))]]
+    stream = _in_batches(spark, tmp_path, batches, "session_id string, nonce string, issued_at timestamp")
+    got = sessions.run_available(sessions.token_dedup_stream(stream)).collect()
+    assert sorted((r.nonce, (r.issued_at - at(0)).total_seconds()) for r in got) == [("m", 400.0), ("n", 0.0), ("n", 410.0), ("x", 401.0)]
+
+
+def test_rolling_streams_keep_state_between_batches(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [("s", i, i * 400_000_000, round(rng.random(), 3)) for i in range(60)]
+    schema = "session_id string, event_id long, ts_us long, value double"
+    stream = _in_batches(spark, tmp_path, [rows[:25], rows[25:31], rows[31:]], schema)
+    got = {r.event_id: r.p95 for r in sessions.run_available(sessions.rolling_p95_stream(stream, 16)).collect()}
+    assert got == {i: sorted(r[3] for r in rows[max(0, i - 15) : i + 1])[(min(i, 15)) * 95 // 100] for i in range(60)}
+    got = {r.event_id: r.changes_in_hour for r in sessions.run_available(sessions.rate_limit_stream(stream, 2)).collect()}
+    assert got == {i: min(i + 1, 10) for i in range(60)}
+
+
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    schema = "event_id string, session_id string"
+    batches = [[("a", "s"), ("b", "s"), ("a", "s")], [("b", "s"), ("c", "t")], [("c", "t"), ("d", "u")]]
+    stream = _in_batches(spark, tmp_path, batches, schema)
+    for within in (None, "session_id"):
+        where = f"{tmp_path}/{within}"
+        for turn in range(2):
+            sessions.append_batches(stream, f"{where}/store", f"{where}/state{turn}", schema, within)
+        assert sorted(map(tuple, sessions.read_appended(spark, f"{where}/store", schema).collect())) == [("a", "s"), ("b", "s"), ("c", "t"), ("d", "u")]
+
+
+def test_reviews_fall_due_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batches = [[(1, at(0), "pending"), (2, at(0), "pending")], [(2, at(1), "resolved"), (3, at(2), "pending")], [(4, at(5), "pending")], [(5, at(5.5), "pending")]]
+    stream = _in_batches(spark, tmp_path, batches, "event_id long, at timestamp, status string")
+    got = sessions.run_available(sessions.overdue_stream(stream, "at")).collect()
+    assert [(r.event_id, r.enqueued) for r in got] == [(1, at(0))]
+
+
 def test_timed_keeps_a_budget():
     budget = metrics.Budget("scan", 1e9)
     assert metrics.timed(budget)(lambda x: x + 1)(1) == 2 and len(budget.samples) == 1 and budget.p95() < 1e9 and budget.holds()
