@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,16 @@ def decide(df: DataFrame, actions: DataFrame, action: str, score: str, threshold
     )
 
 
+def dispatch(decisions: DataFrame, channels: dict[str, Callable[[DataFrame], None]]) -> None:
+    """Each channel's handler gets that channel's decisions; also a foreachBatch step.  The first error surfaces; channels without a handler get nothing."""
+    decisions.persist()
+    try:
+        for channel, handler in channels.items():
+            handler(decisions.where(F.col("channel") == channel))
+    finally:
+        decisions.unpersist()
+
+
 def decision_events(decisions: DataFrame, session: str, action: str) -> DataFrame:
     """Audit events of decisions: escalation_triggered unless it proceeds, else agent_llm_response."""
     return decisions.select(

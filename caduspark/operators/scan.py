@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -164,3 +165,13 @@ def minimum_necessary(resource: Column, paths: list[str]) -> Column:
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
     return build(tree, "$")
+
+
+def minimal(column: str, paths: list[str], purpose: str = "") -> Callable[[DataFrame], DataFrame]:
+    """minimum_necessary() as a step for DataFrame.transform, which carries its fields and purpose for the audit."""
+
+    def step(df: DataFrame) -> DataFrame:
+        return df.withColumn(column, minimum_necessary(F.col(f"`{column}`"), paths))
+
+    step.allowed_fields, step.purpose = tuple(paths), purpose
+    return step

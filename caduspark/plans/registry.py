@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caduspark.functions import detect, fixed, redact, signals
-from caduspark.operators import calibrate, chain, device, metrics, propagation, report, routing, rules, scan
+from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import duck, views
-from caduspark.sources import adapters, keys, store
+from caduspark.sources import adapters, dicom, keys, store
 from caduspark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,6 +270,32 @@ def phi_custom_detector(spark, sf_dir):
     return rows.where("h.phi_type = 'VISIT'").select("note_id", F.col("h.phi_type").alias("phi_type"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"))
 
 
+@query(f"SELECT note_id, phi_type, start, stop FROM ({duck.merged(NOTES, 'note_id')}) WHERE phi_type <> 'URL' AND NOT (phi_type = 'EMAIL' AND note_id % 2 = 0 AND value LIKE 'c%')")
+def phi_custom_filter(spark, sf_dir):
+    """Filters of one's own over hits and their text."""
+    rows = notes(spark, sf_dir).withColumn("h", detect.regex_hits(F.col("text")))
+    even = F.col("note_id") % 2 == 0
+    kept = detect.keep_where(F.col("text"), F.col("h"), lambda text, h: (h["phi_type"] != "URL") & ~((h["phi_type"] == "EMAIL") & even & F.substring(text, h["start"] + 1, F.lit(1)).isin("c")))
+    return rows.select("note_id", F.explode(kept).alias("x")).select("note_id", F.col("x.phi_type").alias("phi_type"), F.col("x.start").alias("start"), F.col("x.end").alias("stop"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '[REDACTED:DICOM_DATASET]' END AS redacted, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'PATIENTNAME' ELSE 'INSTITUTIONNAME,PATIENTNAME' END AS types FROM customer")
+def dicom_scan(spark, sf_dir):
+    """DICOM files by their identifying elements; a third hold none, a third two."""
+
+    def element(tag: str, kind: str, value):
+        padded = F.when(F.length(value) % 2 == 1, F.concat(value, F.lit(" "))).otherwise(value)
+        size = F.unhex(F.lpad(F.hex(F.length(padded)), 2, "0"))
+        return F.concat(F.unhex(F.lit(tag)), F.encode(F.lit(kind), "UTF-8"), size, F.unhex(F.lit("00")), F.encode(padded, "UTF-8"))
+
+    k, none = F.col("c_custkey"), F.unhex(F.lit(""))
+    person = F.when(k % 3 > 0, element("10001000", "PN", F.col("c_name"))).otherwise(none)
+    place = F.when(k % 3 == 2, element("08008000", "LO", F.lit("City Clinic"))).otherwise(none)
+    file = F.concat(F.unhex(F.repeat(F.lit("00"), 128)), F.encode(F.lit("DICM"), "UTF-8"), element("02001000", "UI", F.lit("1.2.840.10008.1.2.1 ")), element("08006000", "CS", F.lit("CT")), place, person, element("20001300", "IS", F.lit("1")))
+    out = dicom.scan_dicom(read(spark, sf_dir, "customer").select("c_custkey", "c_name", file.alias("file")), "file")
+    return out.select("c_custkey", "redacted", F.array_join(F.transform("found", lambda h: h["phi_type"]), ",").alias("types"))
+
+
 def _plain(sql: str) -> str:
     """A view's SQL for DuckDB, where braces in literals are not doubled."""
     return views.duck(sql).replace("{{", "{").replace("}}", "}")
@@ -430,6 +456,15 @@ def confidence_signals(spark, sf_dir):
     return _signals(spark, sf_dir)
 
 
+@query(f"SELECT event_id, {_S2} AS grounding, {_S3} AS hallucination FROM ({REASONS})")
+def grounding_by_join(spark, sf_dir):
+    """C2, C3, C5 against vocabularies that are tables."""
+    rows = view(spark, sf_dir, views.REASONS).select("event_id", "output")
+    for name, pattern, words in (("grounding", fixed.ICD_PATTERN, CODES), ("hallucination", fixed.DRUG_PATTERN, DRUGS)):
+        rows = grounding.vocabulary_share(rows, "event_id", "output", pattern, spark.createDataFrame([(w.upper(),) for w in words], "term string"), name)
+    return rows.select("event_id", "grounding", "hallucination")
+
+
 @query(
     f"SELECT event_id, round(CASE WHEN w = 0 THEN 0.7 ELSE t / w END, 9) AS score FROM (SELECT event_id, "
     "(CASE WHEN a >= 0 THEN a * 0.25 ELSE 0 END) + (CASE WHEN b >= 0 THEN b * 0.3 ELSE 0 END) + (CASE WHEN c >= 0 THEN c * 0.3 ELSE 0 END) + (CASE WHEN d >= 0 THEN d * 0.15 ELSE 0 END) AS t, "
@@ -549,6 +584,16 @@ def route_summary(spark, sf_dir):
     return _decided(spark, sf_dir).groupBy("tier", "action_taken", "channel").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT event_id, channel FROM ({_DECIDED}) WHERE channel IN ('human_review_queue', 'clinician_alert', 'block_with_error')")
+def route_dispatch(spark, sf_dir):
+    """Decisions handed to a handler a channel, here one table each."""
+    where = f"{sessions.shared_dir(spark)}/dispatch-{__import__('uuid').uuid4().hex}"
+    save = lambda channel: lambda rows: rows.select("event_id", "channel").write.mode("append").parquet(f"{where}/{channel}")
+    names = ("human_review_queue", "clinician_alert", "block_with_error")
+    routing.dispatch(_decided(spark, sf_dir), {n: save(n) for n in names})
+    return spark.read.schema("event_id long, channel string").parquet(*[f"{where}/{n}" for n in names])
+
+
 @query(f"SELECT 's' || (event_id % 9) AS session_id, CASE action_taken WHEN 'proceed' THEN 'agent_llm_response' ELSE 'escalation_triggered' END AS event_type, action_name AS agent_id, tier AS risk_tier FROM ({_DECIDED})")
 def route_events(spark, sf_dir):
     """Decisions as audit events."""

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from caduspark.functions import detect, fixed, pure, redact, signals
 from caduspark.functions.hashing import hmac_sha256
-from caduspark.operators import calibrate, chain, device, metrics, propagation, report, routing, rules, scan
+from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import registry
-from caduspark.sources import keys, policy, store
+from caduspark.sources import dicom, keys, policy, store
 from caduspark.streaming import sessions
 
 
@@ -246,6 +246,61 @@ def test_reviews_fall_due_once(spark, tmp_path):
     assert [(r.event_id, r.enqueued) for r in got] == [(1, at(0))]
 
 
+def _file(syntax, *elements):
+    return bytes(128) + b"DICM" + _element(2, 16, b"UI", syntax.encode(), "<") + b"".join(elements)
+
+
+def _element(group, number, kind, value, order="<", undefined=False):
+    import struct
+
+    head = struct.pack(order + "HH", group, number)
+    size = 0xFFFFFFFF if undefined else len(value)
+    if kind is None:
+        return head + struct.pack(order + "I", size) + value
+    if kind in (b"SQ", b"UN", b"OB"):
+        return head + kind + bytes(2) + struct.pack(order + "I", size) + value
+    return head + kind + struct.pack(order + "H", size) + value
+
+
+def test_dicom_elements(spark):
+    import zlib
+
+    name = _element(0x10, 0x10, b"PN", b"DOE^J ")
+    inner = _element(0xFFFE, 0xE000, None, name + _element(0xFFFE, 0xE00D, None, b""), undefined=True)
+    nested = _element(8, 0x1140, b"SQ", inner + _element(0xFFFE, 0xE0DD, None, b""), undefined=True)
+    closed = _element(8, 0x1140, b"SQ", _element(0xFFFE, 0xE000, None, name))
+    pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = pack.compress(name) + pack.flush()
+    cases = [
+        (None, []), (b"", []), (b"no dicom" * 40, []), (_file("1.2.840.10008.1.2.1"), []),
+        (_file("1.2.840.10008.1.2.1", nested), []), (_file("1.2.840.10008.1.2.1", closed), []),
+        (_file("1.2.840.10008.1.2.1", nested, name, _element(0x7FE0, 0x10, b"OB", bytes(100))), ["PatientName"]),
+        (_file("1.2.840.10008.1.2", _element(8, 0x80, None, b"Clinic"), _element(0x10, 0x1010, None, b"044Y")), ["InstitutionName", "PatientAge"]),
+        (_file("1.2.840.10008.1.2.2", _element(0x10, 0x20, b"LO", b"77", ">")), ["PatientID"]),
+        (_file("1.2.840.10008.1.2.1.99", deflated), ["PatientName"]),
+        (_file("1.2.840.10008.1.2.1", name, _element(0x10, 0x20, b"LO", b"77")[:5]), ["PatientName"]),
+    ]
+    got = dicom.scan_dicom(spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, (x, _) in enumerate(cases)], "i int, f binary"), "f").orderBy("i").collect()
+    assert [[h.source for h in r.found] for r in got] == [[f"dicom:{k}" for k in want] for _, want in cases]
+    assert [r.redacted for r in got] == ["[REDACTED:DICOM_DATASET]" if want else None for _, want in cases]
+
+
+def test_vocabulary_table_equals_literal(spark):
+    texts = ["Amoxicillin AMOXICILLIN Lisinopril Zzzpril", "none", "", None, "ZZZZ", "Metformin"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    words = ["amoxicillin", "METFORMIN", "metformin", None]
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    got = {r.i: r.s for r in grounding.vocabulary_share(df, "i", "t", fixed.DRUG_PATTERN, table, "s").collect()}
+    want = {r.i: r.s for r in df.select("i", signals.hallucination(F.coalesce("t", F.lit("")), [w for w in words if w]).alias("s")).collect()}
+    assert got == want == {0: 0.5, 1: -1.0, 2: -1.0, 3: -1.0, 4: 0.0, 5: 1.0}
+
+
+def test_minimal_step(spark):
+    step = scan.minimal("j", ["a"], "billing")
+    got = spark.createDataFrame([('{"a":1,"b":2}',)], "j string").transform(step).first().j
+    assert (got, step.allowed_fields, step.purpose) == ('{"a":1}', ("a",), "billing")
+
+
 def test_timed_keeps_a_budget():
     budget = metrics.Budget("scan", 1e9)
     assert metrics.timed(budget)(lambda x: x + 1)(1) == 2 and len(budget.samples) == 1 and budget.p95() < 1e9 and budget.holds()
