@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caduspark.functions import fixed
+from caduspark.functions import ed25519, fixed
 from caduspark.functions.hashing import hmac_by_pads, hmac_pads
 
 HOUR_US = 3_600_000_000
@@ -73,20 +77,61 @@ def authorize(requests: DataFrame, keys: dict[str, bytes], name: str = "authoriz
     return out.withColumn(name, F.coalesce(ok, F.lit(False))).drop("__clinician", "__inner", "__outer")
 
 
-def token_verdicts(tokens: DataFrame, known: DataFrame, now: int, max_age: int = 120) -> DataFrame:
-    """tokens (session_id, nonce, clinician_id, issued_at, arrival): unknown clinician, expired, replay or ok, in that order.
+def token_verdicts(tokens: DataFrame, known: DataFrame, now: int, max_age: int = 120, signed: str | None = None) -> DataFrame:
+    """tokens (session_id, nonce, clinician_id, issued_at, arrival): unknown clinician, expired, replay, invalid signature or ok, in that order.
 
-    A nonce counts as used by the first token of a session that is otherwise good.
+    A nonce counts as used by the first token of a session that is otherwise good.  signed names a column that tells whether
+    the signature fits; without it signatures are taken as good.
     """
+    fits = F.lit(True) if signed is None else F.coalesce(F.col(signed), F.lit(False))
     people = known.select(F.col("clinician_id").alias("__c")).distinct()
     rows = tokens.join(people, tokens["clinician_id"] == F.col("__c"), "left")
-    rows = rows.withColumn("__good", F.col("__c").isNotNull() & (F.lit(now) - F.col("issued_at") <= max_age))
+    rows = rows.withColumn("__good", F.col("__c").isNotNull() & (F.lit(now) - F.col("issued_at") <= max_age) & fits)
     before = Window.partitionBy("session_id", "nonce").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.max(F.col("__good").cast("int")).over(before), F.lit(0)) > 0
-    verdict = F.when(F.col("__c").isNull(), "unknown clinician").when(F.lit(now) - F.col("issued_at") > max_age, "token expired").when(used, "token replay detected").otherwise("ok")
+    verdict = F.when(F.col("__c").isNull(), "unknown clinician").when(F.lit(now) - F.col("issued_at") > max_age, "token expired").when(used, "token replay detected").when(~fits, "invalid signature").otherwise("ok")
     return rows.withColumn("verdict", verdict).drop("__c", "__good")
 
 
+_TOKEN = ("action_name", "clinician_id", "issued_at", "nonce", "session_id")
+
+
+def token_message(token: dict) -> bytes:
+    """What a clinician signs: the token's fields as JSON with sorted keys."""
+    return json.dumps({k: token[k] for k in _TOKEN}, sort_keys=True).encode()
+
+
+def signed_token_verdicts(tokens: DataFrame, public_keys: dict[str, bytes], now: int, max_age: int = 120) -> DataFrame:
+    """tokens (blob: base64 JSON, signature: binary, arrival) plus the token's fields and its verdict; keys are PEM Ed25519 by clinician.
+
+    Blobs that are no JSON object are `malformed token`, those that lack a field `missing required token fields`; neither uses up a nonce.
+    """
+    raw = {who: ed25519.from_pem(pem) for who, pem in public_keys.items()}
+    kind = pa.struct([(c, pa.int64() if c == "issued_at" else pa.string()) for c in _TOKEN] + [("problem", pa.string()), ("signed", pa.bool_())])
+
+    def read(blob: str | None, signature: bytes | None) -> dict:
+        try:
+            given = json.loads(base64.b64decode(blob or ""))
+        except ValueError:
+            return {"problem": "malformed token"}
+        try:
+            token = {c: int(given[c]) if c == "issued_at" else str(given[c]) for c in _TOKEN}
+        except (KeyError, TypeError, ValueError):
+            return {"problem": "missing required token fields"}
+        key = raw.get(token["clinician_id"])
+        fits = key is not None and ed25519.verify(key, token_message(token), signature or b"")
+        return token | {"signed": fits}
+
+    @F.arrow_udf("struct<action_name:string,clinician_id:string,issued_at:bigint,nonce:string,session_id:string,problem:string,signed:boolean>")
+    def run(blobs: pa.Array, signatures: pa.Array) -> pa.Array:
+        return pa.array([read(*x) for x in zip(blobs.to_pylist(), signatures.to_pylist())], kind)
+
+    rows = tokens.withColumn("__token", run("blob", "signature")).select("*", "__token.*").drop("__token")
+    known = tokens.sparkSession.createDataFrame([(who,) for who in raw], "clinician_id string")
+    out = token_verdicts(rows, known, now, max_age, "signed")
+    return out.withColumn("verdict", F.coalesce("problem", "verdict")).drop("problem", "signed")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """(key, attribute, old, new) of every attribute that changed."""
     a = old.select(F.col(key).alias("__k"), *[F.col(c).cast("string").alias(f"o_{c}") for c in attributes])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caduspark.functions import detect, fixed, redact, signals
+from caduspark.functions import detect, ed25519, fixed, redact, signals
 from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import duck, views
 from caduspark.sources import adapters, dicom, keys, store
@@ -925,6 +927,31 @@ def token_replay(spark, sf_dir):
     return device.token_verdicts(view(spark, sf_dir, _TOKENS), known, 1_704_100_000).select("arrival", "session_id", "verdict")
 
 
+@query(
+    "WITH t AS (SELECT c_custkey AS arrival, 's' || (c_custkey % 2) AS session_id, 'n' || (c_custkey % 50) AS nonce, c_custkey % 3 < 2 AS known, c_custkey % 200 <= 120 AS fresh, c_custkey % 7 <> 0 AS signed FROM customer) "
+    "SELECT arrival, CASE WHEN arrival % 13 = 0 THEN 'malformed token' WHEN arrival % 13 = 1 THEN 'missing required token fields' WHEN NOT known THEN 'unknown clinician' WHEN NOT fresh THEN 'token expired' "
+    "WHEN coalesce(bool_or(known AND fresh AND signed AND arrival % 13 > 1) OVER (PARTITION BY session_id, nonce ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'token replay detected' "
+    "WHEN NOT signed THEN 'invalid signature' ELSE 'ok' END AS verdict FROM t"
+)
+def signed_tokens(spark, sf_dir):
+    """M7: tokens under Ed25519 signatures."""
+    now, secrets = 1_704_100_000, {f"c{i}": bytes([i]) * 32 for i in range(3)}
+
+    @F.arrow_udf("struct<blob:string,signature:binary>")
+    def issue(numbers: pa.Array) -> pa.Array:
+        out = []
+        for k in numbers.to_pylist():
+            token = {"action_name": "infuse", "clinician_id": f"c{k % 3}", "issued_at": now - k % 200, "nonce": f"n{k % 50}", "session_id": f"s{k % 2}"}
+            blob = b"no json" if k % 13 == 0 else json.dumps({k: v for k, v in token.items() if k != "nonce"} if k % 13 == 1 else token).encode()
+            signature = ed25519.sign(secrets[token["clinician_id"]], device.token_message(token))
+            out.append({"blob": base64.b64encode(blob).decode(), "signature": signature if k % 7 else signature[::-1]})
+        return pa.array(out, pa.struct([("blob", pa.string()), ("signature", pa.binary())]))
+
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("arrival")).withColumn("t", issue(F.col("arrival"))).select("arrival", "t.*")
+    public = {who: ed25519.to_pem(ed25519.public_key(secrets[who])) for who in ("c0", "c1")}
+    return device.signed_token_verdicts(store.spread(rows), public, now).select("arrival", "verdict")
+
+
 def _snapshots(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     old = part.where("p_partkey % 10 <> 9").select("p_partkey", F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))

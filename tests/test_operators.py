@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from caduspark.functions import detect, fixed, pure, redact, signals
+from caduspark.functions import detect, ed25519, fixed, pure, redact, signals
 from caduspark.functions.hashing import hmac_sha256
 from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import registry
@@ -301,6 +301,23 @@ def test_minimal_step(spark):
     assert (got, step.allowed_fields, step.purpose) == ('{"a":1}', ("a",), "billing")
 
 
+def test_ed25519_vectors():
+    """The standard's first three vectors."""
+    vectors = [
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ]
+    for secret, public, message, signature in ([bytes.fromhex(x) for x in v] for v in vectors):
+        assert ed25519.public_key(secret) == public and ed25519.sign(secret, message) == signature
+        assert ed25519.verify(public, message, signature) and not ed25519.verify(public, message + b"x", signature)
+        assert not ed25519.verify(public, message, signature[:63]) and not ed25519.verify(bytes(31), message, signature)
+        assert not ed25519.verify(public, message, signature[:32] + (int.from_bytes(signature[32:], "little") + ed25519._L).to_bytes(32, "little"))
+        assert ed25519.from_pem(ed25519.to_pem(public)) == public
+    with pytest.raises(ValueError):
+        ed25519.from_pem(b"-----BEGIN PUBLIC KEY-----\nAAAA\n-----END PUBLIC KEY-----")
+
+
 def test_timed_keeps_a_budget():
     budget = metrics.Budget("scan", 1e9)
     assert metrics.timed(budget)(lambda x: x + 1)(1) == 2 and len(budget.samples) == 1 and budget.p95() < 1e9 and budget.holds()
