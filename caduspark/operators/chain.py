@@ -6,8 +6,13 @@ Event hash: SHA-256 of the canonical form; signature: its HMAC-SHA256.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from caduspark.functions.hashing import hmac_sha256
 
@@ -26,21 +31,29 @@ def event_hash(canonical: Column) -> Column:
 def emit(events: DataFrame, key: bytes, order: str = "sequence_number") -> DataFrame:
     """Link and sign the events of each session, numbered from 1 in `order`.
 
-    Each hash needs the one before, so a session is folded in one row; sessions too long for that go through
-    streaming.sessions.chain_stream, whose state is one hash a session.
+    Each hash needs the one before, so a session's rows pass one task in order; the task holds one hash and one Arrow batch,
+    however long the session is.  Events without a session form a session of their own.  The window's shuffle serves the
+    links as well: what follows it is narrow.
     """
-    rows = events.withColumn("sequence_number", F.row_number().over(Window.partitionBy("session_id").orderBy(order, "event_id")).cast("long"))
-    packed = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("sequence_number", "event_id", body().alias("body")))).alias("e"))
-    start = F.struct(F.lit("").alias("prev"), F.array().cast("array<struct<event_id:string,prev:string,hash:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hashed = event_hash(F.concat(x["body"], acc["prev"]))
-        link = F.struct(x["event_id"].alias("event_id"), acc["prev"].alias("prev"), hashed.alias("hash"))
-        return F.struct(hashed.alias("prev"), F.concat(acc["out"], F.array(link)).alias("out"))
-
-    links = packed.select("session_id", F.inline(F.aggregate("e", start, step, lambda a: a["out"])))
-    out = rows.join(links, ["session_id", "event_id"]).withColumnsRenamed({"prev": "prev_event_hash", "hash": "event_hash"})
-    return out.withColumn("signature", hmac_sha256(F.concat(body(), F.col("prev_event_hash")), key))
+    w = Window.partitionBy("session_id").orderBy(order, "event_id")
+    rows = events.withColumn("sequence_number", F.row_number().over(w).cast("long"))
+    bodies = rows.withColumn("__body", body()).sortWithinPartitions("session_id", "sequence_number")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, prev = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for s, text in zip(batch.column("session_id").to_pylist(), batch.column("__body").to_pylist()):
+                if s != session:
+                    session, prev = s, ""
+                before.append(prev)
+                prev = hashlib.sha256((text + prev).encode()).hexdigest()
+                after.append(prev)
+            out = batch.drop_columns(["__body"])
+            yield out.append_column("prev_event_hash", pa.array(before, pa.string())).append_column("event_hash", pa.array(after, pa.string()))
+
+    schema = StructType([*rows.schema.fields, StructField("prev_event_hash", StringType()), StructField("event_hash", StringType())])
+    return bodies.mapInArrow(link, schema).withColumn("signature", hmac_sha256(F.concat(body(), F.col("prev_event_hash")), key))
 
 
 def verify(chain: DataFrame, key: bytes | None, heads: DataFrame | None = None) -> DataFrame:

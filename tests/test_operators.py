@@ -407,6 +407,18 @@ def test_stream_chain_equals_batch(spark):
     assert sorted(map(tuple, stream)) == sorted(map(tuple, batch.select("event_id", "sequence_number", "signature").collect()))
 
 
+def test_long_sessions_are_linked_in_order(spark):
+    fields = "session_id string, sequence_number long, event_id string, event_type string, agent_id string, input_hash string, risk_tier string, confidence_score double, ts_us long"
+    rows = [(s, i, f"e{i % 30_000}", "tool_call", "a", "h", None, None, i) for s, n in (("s", 30_000), ("t", 3), (None, 2)) for i in range(n)]
+    signed = chain.emit(spark.createDataFrame(rows, fields).repartition(7), b"k").persist()
+    assert signed.count() == len(rows)
+    assert all(r.ok for r in chain.verify(signed, b"k").where("session_id is not null").collect())
+    first = signed.where("session_id = 't'").orderBy("sequence_number").collect()
+    assert [r.prev_event_hash for r in first] == ["", first[0].event_hash, first[1].event_hash] and [r.sequence_number for r in first] == [1, 2, 3]
+    assert chain.emit(spark.createDataFrame([], fields), b"k").count() == 0
+    signed.unpersist()
+
+
 def test_dose_edges(spark):
     ranges = spark.createDataFrame([("a", 1.0, 2.0, 0)], "parameter string, min double, max double, place int")
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.1), ("a", float("nan")), ("a", float("inf")), ("b", 1.0), ("a", None)], "p string, v double")
