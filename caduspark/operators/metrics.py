@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 import functools
+import math
 import time
-from collections.abc import Callable
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Upper bounds of the latency histogram, in seconds.
 BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 
 
 def rolling_p95(df: DataFrame, by: str, order: str, value: str, size: int = 1024, budget: float | None = None) -> DataFrame:
-    """p95 of the last `size` samples: element int(0.95 * (n - 1)) of the sorted window."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(size - 1), 0)
-    window = F.sort_array(F.collect_list(value).over(w))
-    p95 = F.coalesce(F.get(window, F.floor((F.size(window) - 1) * 95 / 100).cast("int")), F.lit(0.0))
-    out = df.withColumn("p95", p95)
+    """p95 of the last `size` samples: element int(0.95 * (n - 1)) of the sorted window; 0 without samples, nulls aside, NaN above all.
+
+    A window function would sort the window anew for every row.  Here the rows of a key pass one task in order, and a sorted
+    list takes one value in and one out: the state is `size` numbers whatever the key's rows.
+    """
+    rows = df.drop("p95").repartition(by).sortWithinPartitions(by, order)
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ranked, nans = object(), deque(), [], 0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(by).to_pylist(), batch.column(value).to_pylist()):
+                if k != key:
+                    key, held, ranked, nans = k, deque(), [], 0
+                if len(held) == size:
+                    gone = held.popleft()
+                    if gone is not None and gone != gone:
+                        nans -= 1
+                    elif gone is not None:
+                        del ranked[bisect_left(ranked, gone)]
+                held.append(v)
+                if v is not None and v != v:
+                    nans += 1
+                elif v is not None:
+                    insort(ranked, v)
+                at = (len(ranked) + nans - 1) * 95 // 100
+                out.append(0.0 if at < 0 else float(ranked[at]) if at < len(ranked) else math.nan)
+            yield batch.append_column("p95", pa.array(out, pa.float64()))
+
+    out = rows.mapInArrow(roll, StructType([*rows.schema.fields, StructField("p95", DoubleType())]))
     return out if budget is None else out.withColumn("within_budget", F.col("p95") <= budget)
 
 

@@ -16,12 +16,12 @@ def paths(edges: DataFrame, tags: DataFrame) -> DataFrame:
     start = tags.groupBy("tag_id").agg(F.min("origin_agent").alias("origin"))
     hops = known_edges(edges, tags).groupBy("tag_id").agg(F.array_sort(F.collect_list(F.struct("ord", "src", "dst"))).alias("e"))
 
-    def step(path, e):
-        path = F.when(F.element_at(path, -1) == e["src"], path).otherwise(F.concat(path, F.array(e["src"])))
-        return F.concat(path, F.array(e["dst"]))
+    def stops(e, i):
+        last = F.when(i == 0, F.col("origin")).otherwise(F.get("e", i - 1)["dst"])
+        return F.when(last == e["src"], F.array(e["dst"])).otherwise(F.array(e["src"], e["dst"]))
 
     rows = start.join(hops, "tag_id", "left")
-    path = F.when(F.col("e").isNull(), F.array("origin")).otherwise(F.aggregate("e", F.array("origin"), step))
+    path = F.when(F.col("e").isNull(), F.array("origin")).otherwise(F.concat(F.array("origin"), F.flatten(F.transform("e", stops))))
     return rows.select("tag_id", path.alias("path"), F.coalesce(F.size("e"), F.lit(0)).alias("hops"))
 
 

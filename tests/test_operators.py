@@ -437,6 +437,17 @@ def test_p95_index(spark):
     assert metrics.rolling_p95(df, "s", "i", "v").orderBy(F.desc("i")).first().p95 == 8.0
 
 
+def test_p95_equals_sorted_windows(spark):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([None, float("nan"), float("inf"), 1.0, round(rng.random(), 2)])) for k in ("a", "b", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "s string, i int, v double")
+    got = {(r.s, r.i): r.p95 for r in metrics.rolling_p95(df, "s", "i", "v", 16).collect()}
+    for k, i, _ in rows:
+        held = sorted((v for s, j, v in rows if s == k and i - 16 < j <= i and v is not None), key=lambda v: (v != v, v))
+        want = held[(len(held) - 1) * 95 // 100] if held else 0.0
+        assert got[k, i] == want or (want != want and got[k, i] != got[k, i])
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([("t", 1, "a", "b"), ("t", 2, "b", "c"), ("t", 3, "x", "y"), ("u", 1, "a", "b")], "tag_id string, ord int, src string, dst string")
     known = spark.createDataFrame([("t", "a"), ("w", "q")], "tag_id string, origin_agent string")
