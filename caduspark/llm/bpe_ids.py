@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,7 @@ def _byte_letters() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.core = None
+        self.path, self.core = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -58,6 +54,15 @@ class Encoder:
                 self.core = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._clear()
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer; some 30 MB, so it is read only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _clear(self) -> None:
         """The cache: sorted unit hashes, the entry of each, and each entry's ids in one pool."""
         self.keys, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -37,6 +37,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, AGREE = 10, 3, 15
 #: Texts and distinct shingles of one block of a bucket, about; larger buckets become a grid of block pairs.
 BLOCK, SHINGLES = 1_024, 1 << 19
+#: Shingles of the candidates that are verified at once, so that long texts in many pairs can't fill a worker.
+VERIFIED = 1 << 20
 FEATURE_BITS = 18
 _SLICE = 1 << 12
 
@@ -186,7 +188,7 @@ def candidates(weight: np.ndarray, marks: np.ndarray, keys: np.ndarray, side: np
         for k in range(band):  # a pair belongs to the first band that it shares
             ok &= keys[at:to, k, None] != keys[None, :, k]
         i, j = np.nonzero(ok)
-        yield i + at, j, agree[i, j]
+        yield (i + at).astype(np.int32), j.astype(np.int32), agree[i, j].astype(np.int8)  # up to half a block squared of them are held
 
 
 HEAD = ("band", "key", "i", "j")
@@ -249,14 +251,16 @@ def links_of(ids: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], i: np.n
 
     order = np.argsort(-like, kind="stable")  # likeliest first: later pairs are often joined already
     i, j = i[order], j[order]
+    size = np.array([len(h) for h, _ in sets])
     root, out = np.arange(len(ids)), []
     while len(i):
-        near = weighted_jaccard(some(i[:256]), some(j[:256]), len(i[:256])) >= threshold - 1e-12
-        for x, y in zip(i[:256][near].tolist(), j[:256][near].tolist()):
+        n = max(1, int(np.searchsorted(np.cumsum(size[i[:256]] + size[j[:256]]), VERIFIED, "right")))
+        near = weighted_jaccard(some(i[:n]), some(j[:n]), n) >= threshold - 1e-12
+        for x, y in zip(i[:n][near].tolist(), j[:n][near].tolist()):
             if root[x] != root[y]:
                 out.append((int(ids[x]), int(ids[y])))
                 root[root == root[y]] = root[x]
-        i, j = i[256:], j[256:]
+        i, j = i[n:], j[n:]
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
     return out

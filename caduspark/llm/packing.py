@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caduspark.llm import shared
 from caduspark.llm.bpe_ids import encode_array
 
 WINDOW, PARTS, CLOSING = 2048, 32, 1
+#: Columns of places.
+PLACE = ("length", "first", "last", "take", "sequence", "base")
 
 
 def cut(n: int, seed: int, window: int) -> list[int]:
@@ -173,8 +174,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     pieces = shared.write_table(cut_documents(docs, path, key, text, window, closing, with_ids), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     total = sum(histogram.values())
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "first", "last", "take", "sequence", "base")])
-    where = spark.createDataFrame(places(patterns(histogram, window)), schema)  # a few rows for each length
+    found = np.array(places(patterns(histogram, window)), np.int64).reshape(-1, len(PLACE))
+    where = spark.createDataFrame(pa.table(dict(zip(PLACE, found.T))))  # a few rows for each length; as Arrow it needs no Python workers
     buckets = max(64, total // 20_000)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_key", "start"), F.lit(buckets)))
     before = (

@@ -1,6 +1,7 @@
 """Cases beside test_llm.py: independent expectations, clashing columns, empty tables, long texts, the registered queries."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from caduspark.llm import html_mincut, minhash_neardup, packing, quality, queries, shared, sp_codec, substring_dedup, textnum, toxicity
+from caduspark.llm import bpe_ids, html_mincut, minhash_neardup, packing, quality, queries, shared, sp_codec, substring_dedup, textnum, toxicity
 
 DIR = "/root/testdata/sf0.001"
 LONG = [(1, "y" * 200_000), (2, "x " * 60_000), (3, "word " * 40 + "é" * 90_000), (3, "word " * 40 + "é" * 90_000), (None, "null id"), (4, None)]
@@ -226,3 +227,41 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0, name
+
+
+def test_links_of_long_texts_in_many_pairs_stay_in_bounded_memory():
+    rng = np.random.Generator(np.random.PCG64(5))
+    common = rng.integers(0, 2**63, 12_000, dtype=np.uint64)
+    sets = []
+    for k in range(30):  # texts 0 and 1 share nearly all of their shingles, all others 60 % of them
+        own = sets[0][0][:-9] if k == 1 else np.concatenate([common, rng.integers(0, 2**63, 8_000, dtype=np.uint64)])
+        sets.append((np.unique(own), np.ones(len(np.unique(own)))))
+    i, j = np.triu_indices(30, 1)
+    tracemalloc.start()
+    got = minhash_neardup.links_of(np.arange(30), sets, i, j, np.full(len(i), 20), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1)]
+    assert peak < 200e6, f"{peak / 1e6:.0f} MB"
+
+
+def test_packing_needs_no_python_workers_for_its_places(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    out = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+    assert out.count() == 2
+
+
+def test_the_whole_tokenizer_is_read_only_where_a_text_needs_it():
+    encoder = bpe_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def ids(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return encoder.encode(data, np.array([0, len(data)]))[0].tolist()
+
+    plain, odd = "Some plain  words,\nand one more.", "one odd space"
+    got = ids(plain)
+    assert "whole" not in vars(encoder)
+    assert got == encoder.whole.encode(plain, add_special_tokens=False).ids
+    assert ids(odd) == encoder.whole.encode(odd, add_special_tokens=False).ids
