@@ -29,10 +29,14 @@ def generalized(value: Column, phi_type: Column) -> Column:
     )
 
 
-def replacement(h: Column, mode: str, overrides: dict[str, str] | None = None, salt: str = "session") -> Column:
+def check(mode: str, overrides: dict[str, str] | None = None) -> None:
     for m in (mode, *(overrides or {}).values()):
         if m not in MODES:
             raise ValueError(f"unknown redaction mode: {m}")
+
+
+def replacement(h: Column, mode: str, overrides: dict[str, str] | None = None, salt: str = "session") -> Column:
+    check(mode, overrides)
     how = {
         "REDACT": F.concat(F.lit("[REDACTED:"), h["phi_type"], F.lit("]")),
         "PSEUDONYMIZE": pseudonym(h["value"], h["phi_type"], salt),

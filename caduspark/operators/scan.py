@@ -9,20 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caduspark.functions import detect, fixed, redact
+from caduspark.functions import batch, detect, fixed, redact
 
 
 def scan(df: DataFrame, text: str, mode: str = "REDACT", overrides: dict[str, str] | None = None, salt: str = "session", encoded: bool = True, hits: str = "hits", redacted: str = "redacted", detectors: tuple[detect.Detector, ...] = ()) -> DataFrame:
     """df with the merged hits of a text column and the redacted text; a narrow projection, no shuffle.  detectors are one's own, beside the patterns."""
     t = F.col(f"`{text}`")
-    out = df.withColumn("__normal", detect.normalize(F.when(detect.needs_normalizing(t), t)))
-    parts = [detect.adversarial_hits(t, F.col("__normal"))]
-    if encoded:
-        parts.append(detect.base64_hits(t))
-    parts.append(detect.hl7_hits(t))
-    parts += [F.coalesce(d(t), detect.no_hits()) for d in detectors]
-    out = out.withColumn(hits, F.coalesce(detect.merge(F.concat(*parts)), detect.no_hits())).drop("__normal")
-    return out.withColumn(redacted, redact.redact(t, F.col(hits), mode, overrides, salt))
+    special = F.lit(True) if detectors else F.coalesce(detect.is_hl7(t), F.lit(False))  # texts with hits of other kinds too
+    parts = [batch.scanned_column(F.when(special, t), encoded, merge=False), detect.hl7_hits(t), *[F.coalesce(d(t), detect.no_hits()) for d in detectors]]
+    out = df.withColumn("__special", F.when(special, F.coalesce(detect.merge(F.concat(*parts)), detect.no_hits())))
+    mixed = redact.redact(t, F.col("__special"), mode, overrides, salt)
+    if detectors:
+        return out.withColumns({hits: F.col("__special"), redacted: mixed}).drop("__special")
+    plain = F.when(~special, t)
+    found = F.when(special, F.col("__special")).otherwise(batch.scanned_column(plain, encoded))
+    return out.withColumns({hits: found, redacted: F.when(special, mixed).otherwise(batch.redacted_column(plain, mode, overrides, salt, encoded))}).drop("__special")
 
 
 def plain_scan(text: Column, mode: str = "REDACT") -> Column:
@@ -57,7 +58,8 @@ def scan_bytes(payload: Column) -> Column:
 
 def tags(scanned: DataFrame, key: str, origin: Column, hits: str = "hits") -> DataFrame:
     """One row a hit; tag_id is a hash of document, place and type, so repeated runs agree."""
-    rows = scanned.select(F.col(key), origin.alias("origin_agent"), F.explode(hits).alias("h"))
+    # a bare column would be tested for emptiness below, by computing the hits again
+    rows = scanned.select(F.col(key), origin.alias("origin_agent"), F.explode(F.coalesce(F.col(f"`{hits}`"), detect.no_hits())).alias("h"))
     ident = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("h.start").cast("string"), F.col("h.end").cast("string"), F.col("h.phi_type")), 256)
     return rows.select(
         ident.alias("tag_id"),

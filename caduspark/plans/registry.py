@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caduspark.functions import detect, ed25519, fixed, redact, signals
+from caduspark.functions import batch, detect, ed25519, fixed, redact, signals
 from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import duck, views
 from caduspark.sources import adapters, dicom, keys, store
@@ -58,8 +58,12 @@ DOCS = "SELECT doc_id, text FROM documents"
 ASCII_TYPES = ["SSN", "EMAIL", "PHONE", "IP_ADDRESS", "URL", "DATE", "NPI", "DEA", "ZIP"]
 
 
+def _dealt(spark: SparkSession, sf_dir: str, sql: str, task_bytes: int = 2 << 20) -> DataFrame:
+    return views.spark_view(spark, sf_dir, sql, lambda df: store.spread(df, task_bytes))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.spread(view(spark, sf_dir, views.NOTES))
+    return _dealt(spark, sf_dir, views.NOTES)
 
 
 # --- detection ------------------------------------------------------------------------------------------
@@ -164,7 +168,7 @@ def phi_normalize(spark, sf_dir):
 @query()
 def phi_adversarial_scan(spark, sf_dir):
     """Hits of disguised notes, mapped back to the original text (tested against plain Python)."""
-    rows = scan.scan(view(spark, sf_dir, _ADVERSARIAL), "text").select("note_id", "redacted", F.explode("hits").alias("h"))
+    rows = scan.scan(_dealt(spark, sf_dir, _ADVERSARIAL), "text").select("note_id", F.explode(F.coalesce("hits", detect.no_hits())).alias("h"))
     return rows.select("note_id", F.col("h.phi_type").alias("phi_type"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.col("h.value").alias("value"), F.col("h.source").alias("source"))
 
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +61,8 @@ QUEUE = "SELECT event_id, cast({micros}(ts) AS bigint) AS at_us, user_id FROM {e
 _TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view's rows; only the tables that it names are read."""
+def spark_view(spark: SparkSession, sf_dir: str, sql: str, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A view's rows; only the tables that it names are read, and dealt out before the view's text is made of them."""
     sql = sql.replace("{micros}", "unix_micros")
     names = set(_TABLE.findall(sql))
     tables = {}
@@ -70,7 +71,7 @@ def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         for c, kind in df.dtypes:
             if kind == "timestamp_ntz":
                 df = df.withColumn(c, df[c].cast("timestamp"))
-        tables[n] = df
+        tables[n] = deal(df)
     return spark.sql(sql, **tables)
 
 

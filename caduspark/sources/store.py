@@ -33,10 +33,16 @@ def location(policy) -> str | None:
     return f"jdbc:sqlite:{policy.path}" if policy.backend == "sqlite" else policy.path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it would be read by fewer tasks (few, large row groups); for work that outweighs a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
+    """df over all cores where it would be read by fewer tasks (few, large row groups); for work that outweighs a shuffle.
+
+    task_bytes bounds what the planner expects a task to read, so that tasks grow in number and not in length.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if task_bytes is not None:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        tasks = max(tasks, -(-size // task_bytes))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def read_store(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
