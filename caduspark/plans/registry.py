@@ -827,7 +827,7 @@ def session_overview(spark, sf_dir):
 @query(f"SELECT phi_type, (note_id % 20)::BIGINT AS session_id, count(*) AS n FROM ({duck.merged(NOTES, 'note_id')}) GROUP BY ALL")
 def report_phi_summary(spark, sf_dir):
     """G4."""
-    rows = scan.tags(notes(spark, sf_dir).select("note_id", detect.regex_hits(F.col("text")).alias("hits")), "note_id", F.lit("a"))
+    rows = scan.tags(notes(spark, sf_dir).select("note_id", batch.merged_column(F.col("text")).alias("hits")), "note_id", F.lit("a"))
     return report.phi_summary(rows.withColumn("session_id", F.col("note_id") % 20)).select("phi_type", "session_id", "n")
 
 
