@@ -231,7 +231,7 @@ def redact_documents(spark, sf_dir):
 @query(f"SELECT sha256(concat_ws('|', note_id, start, stop, phi_type)) AS tag_id, note_id, phi_type, 'regex' AS source, confidence, '[' || phi_type || ']' AS redacted_value, 'intake' AS origin_agent FROM ({duck.merged(NOTES, 'note_id')})")
 def tags(spark, sf_dir):
     """One tag a hit."""
-    rows = notes(spark, sf_dir).select("note_id", detect.regex_hits(F.col("text")).alias("hits"))
+    rows = notes(spark, sf_dir).select("note_id", batch.merged_column(F.col("text")).alias("hits"))
     return scan.tags(rows, "note_id", F.lit("intake"))
 
 

@@ -77,7 +77,7 @@ def test_base64_tokens_as_the_expressions_find_them(spark):
     assert got == want and sum(map(len, got)) >= 4
 
 
-SCANS = "phi_adversarial_scan report_phi_summary"
+SCANS = "phi_adversarial_scan report_phi_summary tags"
 
 
 @pytest.mark.parametrize("name", SCANS.split())
