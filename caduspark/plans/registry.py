@@ -279,7 +279,7 @@ def phi_custom_detector(spark, sf_dir):
 @query(f"SELECT note_id, phi_type, start, stop FROM ({duck.merged(NOTES, 'note_id')}) WHERE phi_type <> 'URL' AND NOT (phi_type = 'EMAIL' AND note_id % 2 = 0 AND value LIKE 'c%')")
 def phi_custom_filter(spark, sf_dir):
     """Filters of one's own over hits and their text."""
-    rows = notes(spark, sf_dir).withColumn("h", detect.regex_hits(F.col("text")))
+    rows = notes(spark, sf_dir).withColumn("h", batch.merged_column(F.col("text")))
     even = F.col("note_id") % 2 == 0
     kept = detect.keep_where(F.col("text"), F.col("h"), lambda text, h: (h["phi_type"] != "URL") & ~((h["phi_type"] == "EMAIL") & even & F.substring(text, h["start"] + 1, F.lit(1)).isin("c")))
     return rows.select("note_id", F.explode(kept).alias("x")).select("note_id", F.col("x.phi_type").alias("phi_type"), F.col("x.start").alias("start"), F.col("x.end").alias("stop"))
