@@ -70,14 +70,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(df: DataFrame, key: str, types: list[str] | None = None) -> DataFrame:
-    rows = df.select(key, F.explode(detect.raw_hits(F.col("text"), types)).alias("h"))
+    return _shown(df.select(key, F.explode(detect.raw_hits(F.col("text"), types)).alias("h")), key)
+
+
+def _shown(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("h.phi_type").alias("phi_type"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.col("h.value").alias("value"), F.col("h.confidence").alias("confidence"))
 
 
 @query(f"SELECT note_id, phi_type, start, stop, value, confidence FROM ({duck.spans(NOTES, 'note_id')})")
 def phi_spans_notes(spark, sf_dir):
     """Every pattern hit of the synthesized notes."""
-    return _spans(notes(spark, sf_dir), "note_id")
+    return _shown(notes(spark, sf_dir).select("note_id", F.explode(batch.raw_column(F.col("text"))).alias("h")), "note_id")
 
 
 @query(f"SELECT phi_type, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({duck.spans(DOCS, 'doc_id', types=['EMAIL', 'PHONE', 'IP_ADDRESS', 'URL'])}) GROUP BY phi_type")
