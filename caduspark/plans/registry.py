@@ -187,7 +187,7 @@ def phi_base64_scan(spark, sf_dir):
 @query(f"SELECT phi_type, count(*) AS expected, count(*) FILTER (found) AS found FROM (SELECT t.phi_type, list_contains(h.types, t.phi_type) AS found FROM (SELECT note_id, unnest(['SSN', 'EMAIL', 'PHONE', 'IP_ADDRESS', 'URL', 'DATE', 'MRN', 'NPI', 'DEA', 'ZIP']) AS phi_type FROM ({NOTES})) t JOIN (SELECT note_id, list(phi_type) AS types FROM ({duck.merged(NOTES, 'note_id')}) GROUP BY note_id) h USING (note_id)) GROUP BY phi_type")
 def detector_recall(spark, sf_dir):
     """Recall by type over notes in which every type is planted."""
-    rows = notes(spark, sf_dir).select(detect.regex_hits(F.col("text")).alias("hits"))
+    rows = notes(spark, sf_dir).select(batch.merged_column(F.col("text")).alias("hits"))
     rows = rows.select(F.col("hits.phi_type").alias("types"), F.explode(F.array(*[F.lit(p[0]) for p in fixed.PATTERNS])).alias("phi_type"))
     return rows.groupBy("phi_type").agg(F.count("*").alias("expected"), F.count_if(F.array_contains("types", F.col("phi_type"))).alias("found"))
 
