@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caduspark.functions import batch, detect, ed25519, fixed, redact, signals
+from caduspark.functions import batch, detect, ed25519, fixed, signals
 from caduspark.operators import calibrate, chain, device, grounding, metrics, propagation, report, routing, rules, scan
 from caduspark.plans import duck, views
 from caduspark.sources import adapters, dicom, keys, store
@@ -197,7 +197,7 @@ def detector_recall(spark, sf_dir):
 
 def _redacted(spark, sf_dir, mode, overrides=None):
     t = F.col("text")
-    return notes(spark, sf_dir).select("note_id", redact.redact(t, detect.regex_hits(t), mode, overrides).alias("redacted"))
+    return notes(spark, sf_dir).select("note_id", batch.redacted_column(t, mode, overrides).alias("redacted"))
 
 
 @query(duck.redacted(NOTES, "note_id", "'[REDACTED:' || phi_type || ']'"))
