@@ -111,7 +111,7 @@ def phi_doc_summary_all(spark, sf_dir):
 
 
 def _merged(df: DataFrame, key: str) -> DataFrame:
-    rows = df.select(key, F.explode(detect.regex_hits(F.col("text"))).alias("h"))
+    rows = df.select(key, F.explode(batch.merged_column(F.col("text"))).alias("h"))
     return rows.select(key, F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.col("h.phi_type").alias("phi_type"), F.col("h.value").alias("value"), F.col("h.confidence").alias("confidence"))
 
 
