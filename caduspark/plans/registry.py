@@ -274,8 +274,8 @@ def scan_json_fallback(spark, sf_dir):
 @query("SELECT o_orderkey AS note_id, 'VISIT' AS phi_type, 0 AS start, 15 AS stop FROM orders")
 def phi_custom_detector(spark, sf_dir):
     """A detector of one's own beside the patterns; its surer hit takes the date it overlaps."""
-    own = detect.pattern_detector("VISIT", r"Seen \d{4}-\d{2}-\d{2}", 0.99)
-    rows = notes(spark, sf_dir).select("note_id", F.explode(detect.detect_with(F.col("text"), [detect.raw_hits, own])).alias("h"))
+    own = ("VISIT", r"Seen [0-9]{4}-[0-9]{2}-[0-9]{2}", 0.99)
+    rows = notes(spark, sf_dir).select("note_id", F.explode(batch.merged_column(F.col("text"), (own,))).alias("h"))
     return rows.where("h.phi_type = 'VISIT'").select("note_id", F.col("h.phi_type").alias("phi_type"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"))
 
 

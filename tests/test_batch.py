@@ -77,7 +77,7 @@ def test_base64_tokens_as_the_expressions_find_them(spark):
     assert got == want and sum(map(len, got)) >= 4
 
 
-SCANS = "phi_adversarial_scan report_phi_summary tags phi_custom_filter phi_spans_notes detector_recall redact_suppress redact_replace redact_overrides redact_generalize redact_pseudonymize phi_overlap_merge"
+SCANS = "phi_adversarial_scan report_phi_summary tags phi_custom_filter phi_spans_notes detector_recall redact_suppress redact_replace redact_overrides redact_generalize redact_pseudonymize phi_overlap_merge phi_custom_detector"
 
 
 @pytest.mark.parametrize("name", SCANS.split())
