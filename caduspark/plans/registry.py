@@ -954,9 +954,10 @@ def signed_tokens(spark, sf_dir):
             out.append({"blob": base64.b64encode(blob).decode(), "signature": signature if k % 7 else signature[::-1]})
         return pa.array(out, pa.struct([("blob", pa.string()), ("signature", pa.binary())]))
 
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("arrival")).withColumn("t", issue(F.col("arrival"))).select("arrival", "t.*")
+    customers = store.spread(read(spark, sf_dir, "customer"), 1 << 18).select(F.col("c_custkey").alias("arrival"))
+    rows = customers.withColumn("t", issue(F.col("arrival"))).select("arrival", "t.*")
     public = {who: ed25519.to_pem(ed25519.public_key(secrets[who])) for who in ("c0", "c1")}
-    return device.signed_token_verdicts(store.spread(rows), public, now).select("arrival", "verdict")
+    return device.signed_token_verdicts(rows, public, now).select("arrival", "verdict")
 
 
 def _snapshots(spark, sf_dir):

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caduspark.functions import batch, detect, fixed, pure
+from caduspark.functions import batch, detect, ed25519, fixed, pure
 from caduspark.plans import registry
 from caduspark.sources import store
 
@@ -92,3 +92,17 @@ def test_tasks_grow_in_number_with_what_is_read(spark):
     few, many = store.spread(df, 1 << 40), store.spread(df, 1 << 10)
     assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < many.rdd.getNumPartitions()
     assert sorted(many.collect()) == sorted(df.collect())
+
+
+def test_signatures_use_tables(monkeypatch):
+    secret, message = bytes(range(32)), b"infuse"
+    public, signature = ed25519.public_key(secret), ed25519.sign(secret, message)
+    assert ed25519.verify(public, message, signature)
+    monkeypatch.setattr(ed25519, "_add", None)  # sums of whole points are for making tables only
+    assert ed25519.sign(secret, message) == signature and ed25519.verify(public, message, signature)
+    assert not ed25519.verify(public, message + b"x", signature)
+
+
+def test_tokens_are_issued_by_all_cores(spark):
+    plan = registry.queries()["signed_tokens"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("issue(") < plan.index("Repartition")  # the plan's leaves come last
