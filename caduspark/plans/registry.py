@@ -244,7 +244,7 @@ _FHIR = """SELECT c_custkey, '{{"resourceType":"Patient","id":"p' || cast(c_cust
 @query("""SELECT c_custkey, '{"resourceType":"Patient","id":"p' || c_custkey || '","name":"[REDACTED:name]","birthDate":"[REDACTED:birthDate]","note":"call [REDACTED:PHONE]","active":"yes"}' AS redacted FROM customer""")
 def fhir_redact(spark, sf_dir):
     """Identifying fields of FHIR resources, and hits in the others."""
-    return scan.fhir_redact(view(spark, sf_dir, _FHIR), "resource").select("c_custkey", "redacted")
+    return scan.fhir_redact(_dealt(spark, sf_dir, _FHIR, 1 << 18), "resource").select("c_custkey", "redacted")
 
 
 _TYPED = """SELECT c_custkey, '{{"resourceType":"Patient","id":"00' || cast(c_custkey AS string) || '","active":true,"weight":' || cast(c_custkey % 90 AS string) || ',"tag":"true","name":[{{"family":"x"}}],"link":{{"mail":"c' || cast(c_custkey AS string) || '@example.com","list":[1,null,"[y"]}}}}' AS resource FROM {customer}"""
@@ -253,7 +253,7 @@ _TYPED = """SELECT c_custkey, '{{"resourceType":"Patient","id":"00' || cast(c_cu
 @query("""SELECT c_custkey, '{"resourceType":"Patient","id":"00' || c_custkey || '","active":true,"weight":' || (c_custkey % 90) || ',"tag":"true","name":"[REDACTED:name]","link":{"mail":"[REDACTED:EMAIL]","list":[1,null,"[y"]}}' AS redacted FROM customer""")
 def fhir_redact_typed(spark, sf_dir):
     """Nested values, numbers, booleans and nulls of a resource keep their types."""
-    return scan.fhir_redact(view(spark, sf_dir, _TYPED), "resource").select("c_custkey", "redacted")
+    return scan.fhir_redact(_dealt(spark, sf_dir, _TYPED, 1 << 18), "resource").select("c_custkey", "redacted")
 
 
 @query("""SELECT c_custkey, '{"active":true,"id":"00' || c_custkey || '","link":{"list":[1,null,"[y"]},"tag":"true","weight":' || (c_custkey % 90) || '}' AS kept FROM customer""")
@@ -320,7 +320,7 @@ _CALLS = """SELECT 'c' || cast(c_custkey AS string) AS session_id, c_custkey AS
 )
 def tool_events(spark, sf_dir):
     """Tool calls and results as events, with the raw payload's hash, the redacted payload and a tag a hit."""
-    out = adapters.tool_events(view(spark, sf_dir, _CALLS))
+    out = adapters.tool_events(_dealt(spark, sf_dir, _CALLS, 1 << 18))
     called = F.col("event_type") == "tool_call"
     return out.select("session_id", "event_type", F.when(called, F.col("input_hash")).otherwise(F.col("output_hash")).alias("hash"), F.when(called, F.col("redacted_input")).otherwise(F.col("redacted_output")).alias("payload"), F.size("phi_tags_detected").alias("n_tags"))
 

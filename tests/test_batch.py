@@ -106,3 +106,18 @@ def test_signatures_use_tables(monkeypatch):
 def test_tokens_are_issued_by_all_cores(spark):
     plan = registry.queries()["signed_tokens"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("issue(") < plan.index("Repartition")  # the plan's leaves come last
+
+
+def test_plain_scan_skips_only_patterns_that_cannot_match():
+    for t in [*CASES, *ODD, "MRN ABCD", "medical record none", "nothing", "https://x"]:
+        assert pure.hits_of(t) == pure.merged([(k, m.start(), m.end(), m[0], c, "regex") for k, p, c in pure._COMPILED for m in p.finditer(t)])
+
+
+def test_plain_scan_of_words_tries_no_pattern(monkeypatch):
+    monkeypatch.setattr(pure, "_COMPILED", None)
+    assert pure.hits_of("resourceType") == [] and pure.redact_text("no identifiers here") == "no identifiers here"
+
+
+@pytest.mark.parametrize("name", ["fhir_redact_typed", "fhir_redact", "tool_events"])
+def test_customers_are_dealt_out(spark, name):
+    assert "Repartition" in registry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
