@@ -121,3 +121,15 @@ def test_plain_scan_of_words_tries_no_pattern(monkeypatch):
 @pytest.mark.parametrize("name", ["fhir_redact_typed", "fhir_redact", "tool_events"])
 def test_customers_are_dealt_out(spark, name):
     assert "Repartition" in registry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_session_folders_are_written_by_all_cores(spark, tmp_path):
+    cores, track = spark.sparkContext.defaultParallelism, spark.sparkContext.statusTracker()
+    events = spark.range(300).selectExpr("cast(id as string) event_id", "concat('s', id % 150) session_id")
+    spark.sparkContext.setJobGroup("fan", "fan")
+    store.append_by_session(events, f"{tmp_path}/s")
+    tasks = [track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup("fan") for s in track.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert max(tasks) == 4 * cores
+    found = spark.read.schema("event_id string, session_id string").json(f"{tmp_path}/s")
+    assert sorted(map(tuple, found.select(*events.columns).collect())) == sorted(map(tuple, events.collect()))
